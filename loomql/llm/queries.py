@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_texts
 from .exact_dedup import exact_groups
+from .packing import packed_documents
+from .quality import quality_scores
 from .shared import read_table
+from .simhash import near_groups
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), ids=False)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
