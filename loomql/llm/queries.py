@@ -10,12 +10,17 @@ from .packing import packed_documents
 from .quality import quality_scores
 from .shared import read_table
 from .simhash import near_groups
+from .substring_dedup import substring_groups
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_groups(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), ids=False)
 
