@@ -1,17 +1,60 @@
-"""The corpus pipeline: filter by quality, remove exact and near copies and repeated passages, pack."""
+"""The corpus pipeline: filter by quality, remove exact and near copies and repeated passages, pack.
+
+Each stage is written as Parquet in the shared folder and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomql.llm.exact_dedup import exact_dedup
+from loomql.llm.packing import packed_documents
+from loomql.llm.quality import keep_quality
 from loomql.llm.shared import read_table, written
+from loomql.llm.simhash import near_dedup
+from loomql.llm.substring_dedup import substring_dedup
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels that aren't held out, scores 0.5 or more."""
+    return keep_quality(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the one with the smallest doc_id."""
+    return exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked SimHash fingerprints, the document with the smallest doc_id."""
+    return near_dedup(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 20-word passages that occur earlier; n_chars follows the texts that change."""
+    cut = substring_dedup(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its tokens' place in the document and in a sequence."""
+    return packed_documents(docs)
+
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup(docs))]
+STAGES = [
+    ("quality", quality_filter),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+#: SQL expresses neither the classifier nor the tokenizer; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the whole of documents."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
