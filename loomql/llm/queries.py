@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import converted
 from .byte_bpe import encode_texts
 from .exact_dedup import exact_groups
 from .packing import packed_documents
@@ -21,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_groups(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return converted(read_table(spark, sf_dir, "pages")).drop("record_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), ids=False)
 
@@ -48,5 +53,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+     last AS (SELECT t, max(page_id) AS last FROM p WHERE strlen(t) >= 1000 GROUP BY t)
+SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last > page_id THEN last END AS refers_to
+FROM p LEFT JOIN last USING (t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL}
