@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .archives import converted
 from .byte_bpe import encode_texts
 from .exact_dedup import exact_groups
+from .metric_search import top_k
 from .packing import packed_documents
 from .quality import quality_scores
 from .shared import read_table
@@ -26,6 +28,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(read_table(spark, sf_dir, "pages")).drop("record_id")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), ids=False)
 
@@ -62,6 +68,14 @@ SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest,
 FROM p LEFT JOIN last USING (t)
 """
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings),
+     scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_topk_search": OP4_SQL, "op10_exact_dedup": OP10_SQL}
