@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .archives import converted
 from .byte_bpe import encode_texts
 from .exact_dedup import exact_groups
+from .language import identify
+from .licences import scan
 from .metric_search import top_k
 from .packing import packed_documents
 from .quality import quality_scores
@@ -36,6 +38,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), ids=False)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"))
 
