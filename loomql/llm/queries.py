@@ -69,6 +69,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+OP2_SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     win AS (SELECT doc_id, s, array_to_string(ws[s:s+19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+     first AS (SELECT k, min({'d': doc_id, 's': s}) AS f FROM win GROUP BY k),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM win JOIN first USING (k) WHERE {'d': doc_id, 's': s} > f),
+     words AS (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM w),
+     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
      last AS (SELECT t, max(page_id) AS last FROM p WHERE strlen(t) >= 1000 GROUP BY t)
@@ -88,4 +97,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_topk_search": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_topk_search": OP4_SQL, "op10_exact_dedup": OP10_SQL}
