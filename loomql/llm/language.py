@@ -50,7 +50,7 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Fit on at most ``sample`` documents with a language, those whose doc_id hashes lowest; only their identifiers are broadcast."""
-    chosen = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id")).limit(sample)
+    chosen = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id")).limit(sample).distinct()
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).filter("text is not null and lang is not null").select("doc_id", "text", "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -160,7 +160,7 @@ def likeness(model: dict, h: np.ndarray, family: int) -> float:
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Fit with the paragraphs of at most ``sample`` documents as unknown: those whose identifiers hash lowest."""
-    chosen = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id")).limit(sample)
+    chosen = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id")).limit(sample).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").filter("_text is not null").collect()
     texts = sorted({line for r in rows for line in r["_text"].split("\n") if line.strip()})
     rng = np.random.default_rng(1)
