@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -88,16 +88,13 @@ def hubs(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links."""
-    keyed = variants(fps)
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    shared = written(counted, "variants")
-    two = shared.filter("n = 2").filter(differing(F.col("a"), F.col("b")) <= DISTANCE).select("a", "b")
-    more = written(keyed.join(shared.filter("n > 2").select("key", "n"), "key"), "members")
-    cold = more.filter(F.col("n") <= BUCKET)
+    shared = variants(fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    members = written(shared, "variants")
+    cold = members.filter(F.col("n") <= BUCKET)
     left, right = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (differing(F.col("a"), F.col("b")) <= DISTANCE)).select("a", "b")
-    hot = hubs(more.filter(F.col("n") > BUCKET).select("fp").distinct())
-    return two.unionByName(pairs).unionByName(hot).distinct()
+    hot = hubs(members.filter(F.col("n") > BUCKET).select("fp").distinct())
+    return pairs.unionByName(hot).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
