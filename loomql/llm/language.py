@@ -1,17 +1,17 @@
-"""Language identification of pages by Bayesian evidence fusion.
+"""Language identification of pages and documents by Bayesian evidence fusion.
 
 The posterior of a language multiplies four kinds of evidence: the likelihood of the visible text, that of the language declared
 in the markup, that of the address suffix, and a prior for the host. The prior is smoothed
 hierarchically: a host leans on its registered domain, a domain on all pages. The tables come from
 grouped aggregation over all pages, weighted by what each page's own text says; a page's own weight is
-taken out again before its host's prior applies to it.
+taken out again before its host's prior applies to it. A document has no markup and no address; its source is its host.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +64,14 @@ def page_parts(url: str | None, page: str | None) -> tuple[str, str, str]:
     return host, lang[1].lower() if lang else "none", html.unescape(HIDDEN.sub(" ", page or ""))
 
 
-def evidence(pages: DataFrame, names: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def document_parts(source: str | None, text: str | None) -> tuple[str, str, str]:
+    """The same of a document, whose source is its host."""
+    return source or "", "none", text or ""
+
+
+def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, url_col: str, html_col: str, parts: Callable) -> DataFrame:
     """(id, host, domain, suffix, declared, w0, w1, ...): what each page's own text says, as logs that need no common total."""
+    names, table = model
     kind = pages.schema[id_col].dataType.simpleString()
     shown = [f"w{i}" for i in range(len(names))]
 
@@ -73,7 +79,7 @@ def evidence(pages: DataFrame, names: list[str], table: np.ndarray, id_col: str,
         for batch in batches:
             hosts, declared, logs = [], [], []
             for url, page in zip(batch.column(1), batch.column(2), strict=True):
-                host, lang, text = page_parts(url.as_py(), page.as_py())
+                host, lang, text = parts(url.as_py(), page.as_py())
                 cells = trigrams(text)
                 total = table @ np.bincount(cells, minlength=CELLS)
                 logs.append((total - total.max()) * min(1.0, EVIDENCE / max(1, len(cells))))
@@ -96,18 +102,18 @@ def shares(logs: list[Column]) -> list[Column]:
     return [p / sum(parts[1:], parts[0]) for p in parts]
 
 
-def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: Callable = page_parts) -> DataFrame:
     """One row for each page: id, lang, probability, text_lang (by the text alone), declared, host.
 
-    Languages are those of the fitting documents; without any, lang is null. A null or empty page has no text evidence and goes by the
+    ``model`` is what ``train`` gives, ``parts`` takes a row's address and content apart. Languages are those of the fitting documents; without any, lang is null. A null or empty page has no text evidence and goes by the
     rest, ties to the first language in order. A null or odd address has an empty host, which is a host like any other. Rows stand
     alone, repeated or not; other columns play no part.
     """
-    names, table = train(docs)
+    names, _ = model
     none = F.lit(None).cast("string")
     if not names:
         return pages.select(id_col, none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), none.alias("declared"), none.alias("host"))
-    rows = written(evidence(pages, names, table, id_col, url_col, html_col), "evidence")
+    rows = written(evidence(pages, model, id_col, url_col, html_col, parts), "evidence")
     n = range(len(names))
     p = [f"p{i}" for i in n]
     rows = rows.withColumns(dict(zip(p, shares([F.col(f"w{i}") for i in n]), strict=True)))
@@ -133,3 +139,11 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     fused = fused.withColumns({f"q{i}": x for i, x in enumerate(shares(logs))})
     q = [F.col(f"q{i}") for i in n]
     return fused.select(F.col("id").alias(id_col), best(q).alias("lang"), F.array_max(F.array(*q)).alias("probability"), best([F.col(c) for c in p]).alias("text_lang"), "declared", "host")
+
+
+def identify_all(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every document and every page, by one text model: doc_id or page_id (the other null) and ``identify``'s columns."""
+    model = train(docs)
+    of_docs = identify(docs, model, "doc_id", "source", "text", document_parts).withColumn("page_id", F.lit(None).cast(pages.schema["page_id"].dataType))
+    of_pages = identify(pages, model).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    return of_docs.unionByName(of_pages).select("doc_id", "page_id", "lang", "probability", "text_lang", "declared", "host")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .archives import converted
 from .byte_bpe import encode_texts
 from .exact_dedup import exact_groups
-from .language import identify
+from .language import identify_all
 from .licences import scan
 from .metric_search import top_k
 from .packing import packed_documents
@@ -39,7 +39,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+    return identify_all(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,17 +53,25 @@ def test_quality_edge_rows(spark):
 
 def test_language(spark):
     pages, docs = read_table(spark, SF, "pages"), read_table(spark, SF, "documents")
-    got = language.identify(pages.withColumn("host", F.lit(1)).withColumn("p0", F.lit(2)), docs)
+    got = language.identify(pages.withColumn("host", F.lit(1)).withColumn("p0", F.lit(2)), language.train(docs))
     both = got.join(pages.withColumn("truth", F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1)), "page_id").toPandas()
     assert len(both) == pages.count() and (both.lang == both.truth).mean() > 0.98
     schema = "page_id long, url string, html string"
     german = "<p>" + "Heit der und schen die beunger ist nicht für auf den sich mit ein dem " * 3
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (2, "::", ""), (None, "http://x.example.fr/", '<html lang="fr">'), (4, "http://y.de/a", german)], schema)
-    rows = language.identify(odd, docs).collect()
+    rows = language.identify(odd, language.train(docs)).collect()
     assert len(rows) == 5 and all(r.lang in ("de", "en", "es", "fr") and 0 < r.probability <= 1 for r in rows)
     assert next(r for r in rows if r.page_id == 4).lang == "de" and next(r for r in rows if r.page_id is None).declared == "fr"
-    assert language.identify(odd.limit(0), docs).collect() == []
-    assert all(r.lang is None for r in language.identify(odd, docs.limit(0)).collect())
+    assert language.identify(odd.limit(0), language.train(docs)).collect() == []
+    assert all(r.lang is None for r in language.identify(odd, language.train(docs.limit(0))).collect())
+
+
+def test_language_of_documents(spark):
+    pages, docs = read_table(spark, SF, "pages"), read_table(spark, SF, "documents")
+    extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6, "", "xx", "s", 0), (None, "der die das und ist nicht " * 9, "xx", "s", 0)], docs.schema)
+    got = language.identify_all(pages, docs.unionByName(extra))
+    both = got.join(docs.withColumnRenamed("lang", "truth"), "doc_id").toPandas()
+    assert got.count() == docs.count() + pages.count() + 3 and len(both) == docs.count() and (both.lang == both.truth).mean() > 0.98
 
 
 def test_page_parts():
