@@ -24,12 +24,16 @@ SAMPLE, EPOCHS = 4000, 10
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of texts, each filled with zeros to whole strides (one at least), and the texts' first strides."""
-    sizes = np.array([max(1, -(-len(t) // STRIDE)) for t in texts], np.int64)
+    """The bytes of texts, each between zeros in strides of its own, and the texts' first strides.
+
+    The zeros before a text are as many as a filter reaches ahead, so no filter's place in one text sees another.
+    """
+    sizes = np.array([-(-(len(t) + WIDTH - 1) // STRIDE) for t in texts], np.int64)
     first = np.concatenate(([0], np.cumsum(sizes)))
     flat = np.zeros(first[-1] * STRIDE + WIDTH, np.uint8)
     for t, at in zip(texts, first, strict=False):
-        flat[at * STRIDE : at * STRIDE + len(t)] = np.frombuffer(t, np.uint8)
+        begin = at * STRIDE + WIDTH - 1
+        flat[begin : begin + len(t)] = np.frombuffer(t, np.uint8)
     return flat, first
 
 
