@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import tasks, written
 
 WORDS, SEED, DISTANCE, HALF = 3, 42, 2, 32
 #: Shingles hashed and counted at a time in a long text.
@@ -88,7 +88,8 @@ def hubs(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links."""
-    shared = variants(fps).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    dealt = fps.repartition(tasks(fps.sparkSession))  # a file of few bytes holds many fingerprints, each of which makes 64 rows
+    shared = variants(dealt).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     members = written(shared, "variants")
     cold = members.filter(F.col("n") <= BUCKET)
     left, right = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
