@@ -20,13 +20,14 @@ are short, and a false hit only costs work in step 3.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ WINDOW, BLOCK = 20, 10
 #: Bytes of words in a batch; words whose hashes share a bucket, about; and the fewest buckets.
 BATCH, SHARE, BUCKETS = 6 << 20, 4_000_000, 64
 #: Distinct words whose hashes a Python worker remembers.
-VOCABULARY = 1 << 19
+VOCABULARY = 1 << 18
 #: A row without an identifier comes after all others.
 LAST = (1 << 63) - 1
 #: Odd factors of the rolling hashes and their finishing.
@@ -134,14 +135,15 @@ def dealt(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(batch, texts, docs): each text is its words joined by one space, each doc (id, hash, n_words, sha)."""
-    schema = "batch string, texts binary, docs array<struct<id:long, hash:long, n_words:long, sha:string>>"
+    schema = "batch long, texts binary, docs array<struct<id:long, hash:long, n_words:long, sha:string>>"
     kind = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, meta, size = [], [], 0
+        names = count(TaskContext.get().partitionId() << 32)
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"batch": [uuid.uuid4().hex], "texts": [pack_texts(texts)], "docs": pa.array([meta], kind)})
+            return pa.RecordBatch.from_pydict({"batch": [next(names)], "texts": [pack_texts(texts)], "docs": pa.array([meta], kind)})
 
         for batch in rows:
             ids, marks, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
@@ -194,14 +196,14 @@ def probes(batches: DataFrame, depth: int) -> DataFrame:
                 h = h[new]
                 bucket, value = (h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
-                out = [(int(bucket[p[0]]), len(p), thin(value[p]) , bits(np.concatenate((anchor[p], again[p])))) for p in np.split(np.arange(len(h)), cut)]
+                out = [(int(bucket[p[0]]), len(p), thin(value[p]), bits(np.concatenate((anchor[p], again[p])))) for p in np.split(np.arange(len(h)), cut)]
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(cols[0], pa.int64()), "batch": [name.as_py()] * len(out), "n": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary()), "marks": pa.array(cols[3], pa.binary())})
 
-    return batches.select("batch", "texts").mapInArrow(run, "bucket long, batch string, n long, data binary, marks binary")
+    return batches.select("batch", "texts").mapInArrow(run, "bucket long, batch long, n long, data binary, marks binary")
 
 
-ANSWER = "batch string, bucket long, hits binary"
+ANSWER = "batch long, bucket long, hits binary"
 
 
 def anchors(sent: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def anchors(sent: DataFrame) -> DataFrame:
             if hit.any():
                 names.append(name)
                 found.append(bits(hit))
-        return pa.table({"batch": pa.array(names, pa.string()), "bucket": pa.array([group["bucket"][0].as_py()] * len(names), pa.int64()), "hits": pa.array(found, pa.binary())})
+        return pa.table({"batch": pa.array(names, pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(names), pa.int64()), "hits": pa.array(found, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -242,7 +244,7 @@ def answered(distinct: np.ndarray, bucket: np.ndarray, answers: list[dict]) -> n
 
 def candidates(batches: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
     """(batch, texts, docs) of the documents with anchors; docs: (id, hash, anchors), the last a bit for each grid block."""
-    schema = "batch string, texts binary, docs array<struct<id:long, hash:long, anchors:binary>>"
+    schema = "batch long, texts binary, docs array<struct<id:long, hash:long, anchors:binary>>"
     kind = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("anchors", pa.binary())]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,7 @@ def candidates(batches: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
                 keep = [i for i in range(len(texts)) if hit[low[i] : low[i + 1]].any()]
                 if keep:
                     meta = [(docs[i]["id"], docs[i]["hash"], bits(hit[low[i] : low[i + 1]])) for i in keep]
-                    yield pa.RecordBatch.from_pydict({"batch": [name.as_py()], "texts": [pack_texts([texts[i] for i in keep])], "docs": pa.array([meta], kind)})
+                    yield pa.RecordBatch.from_pydict({"batch": pa.array([name.as_py()], pa.int64()), "texts": [pack_texts([texts[i] for i in keep])], "docs": pa.array([meta], kind)})
 
     joined = batches.select("batch", "texts", F.transform("docs", lambda d: F.struct(d["id"].alias("id"), d["hash"].alias("hash"))).alias("docs")).join(gathered(answers), "batch")
     return written(joined.mapInArrow(run, schema), "candidates")
@@ -304,9 +306,9 @@ def window_rows(found: DataFrame, depth: int) -> DataFrame:
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 out = [(int(bucket[p[0]]), len(p), *map(planes, (h[p], g[p], ids[p], s[p]))) for p in np.split(np.arange(len(h)), cut) if len(p)]
                 cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(cols[0], pa.int64()), "batch": pa.array([name.as_py()] * len(out), pa.string()), "n": pa.array(cols[1], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip("hgis", cols[2:], strict=True)})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(cols[0], pa.int64()), "batch": pa.array([name.as_py()] * len(out), pa.int64()), "n": pa.array(cols[1], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip("hgis", cols[2:], strict=True)})
 
-    return found.select("batch", "texts", "docs").mapInArrow(run, "bucket long, batch string, n long, h binary, g binary, i binary, s binary")
+    return found.select("batch", "texts", "docs").mapInArrow(run, "bucket long, batch long, n long, h binary, g binary, i binary, s binary")
 
 
 def earliest(sent: DataFrame) -> DataFrame:
@@ -401,7 +403,7 @@ def substring_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated words, all columns and rows: a text that loses words becomes its other words joined by one space; other texts stay as they are."""
     _, gone = repeats(docs, id_col, text_col, texts=True)
-    gone = gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("kept").alias("_kept"))
-    mine = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_hash", F.xxhash64(text_col))
-    joined = mine.join(gone, ["_id", "_hash"], "left")
-    return joined.select(*[F.coalesce("_kept", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    gone = gone.select(F.col("id").alias("_loomql_id"), F.col("hash").alias("_loomql_hash"), F.col("kept").alias("_loomql_kept"))
+    mine = docs.withColumn("_loomql_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_loomql_hash", F.xxhash64(text_col))
+    joined = mine.join(gone, ["_loomql_id", "_loomql_hash"], "left")
+    return joined.select(*[F.coalesce("_loomql_kept", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
