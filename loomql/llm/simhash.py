@@ -48,16 +48,17 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp) for each row, fp the fingerprint's 64 bits as a signed long. Null texts count as empty: 0."""
+    """(id, hash, fp) for each row: a hash of its text, and the fingerprint's 64 bits as a signed long. Null texts count as empty: 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(1), "fp": pa.array(fps.view(np.int64))})
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, hash long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -98,6 +99,16 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(hot).distinct()
 
 
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, fp, component_id) for each row."""
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp")))
+    rooted = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -106,20 +117,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     identifier gets its component's smallest one, null only if there is none. Columns other than
     the two play no part, whatever their names. No rows give no rows.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp")))
-    placed = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return placed(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: those whose identifier is their component's smallest.
+    """The rows of ``docs`` that stay, all columns: of each component the one with its smallest identifier.
 
-    Rows that repeat that identifier stay once. Where all of a component's identifiers are null, they go.
+    Of rows with that identifier one stays, that whose text hashes lowest. Where all of a component's identifiers are null, they go.
     """
-    found = near_groups(docs, id_col, text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    own = placed(docs, id_col, text_col).filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("_loomql_hash"))
+    kept = own.select(F.col("component_id").alias("_loomql_id"), "_loomql_hash")
+    mine = docs.select("*", F.col(id_col).alias("_loomql_id"), F.xxhash64(text_col).alias("_loomql_hash"))
+    keys = ["_loomql_id", "_loomql_hash"]
+    return mine.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -79,6 +79,12 @@ def test_links_of_crowded_and_common_variants(spark, monkeypatch):
                 assert (want[a] == want[b]) == (of.get(a, a) == of.get(b, b))
 
 
+def test_two_texts_under_one_identifier(spark):
+    rows = [(3, "alone here", "x", 1, "y"), (5, "alone here", "x", 1, "y"), (5, "quite another text", "x", 1, "y"), (5, "quite another text", "x", 1, "y")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, "alone here"), (5, "quite another text")]
+
+
 def test_no_rows(spark):
     got = simhash.near_groups(spark.createDataFrame([], SCHEMA))
     assert got.collect() == [] and got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
