@@ -82,8 +82,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    mine = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    on = mine["_digest"].eqNullSafe(kept["_kept_digest"]) & mine[id_col].eqNullSafe(kept["_kept_id"])
-    left = mine.join(kept, on, "left_semi")
-    return left.dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    # A null identifier becomes an empty text, which no other is: plain keys deal both sides once for the join and the repeats.
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_loomql_id")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias("_loomql_digest"), key)
+    mine = docs.select("*", F.sha2(normalised(F.col(text_col)), 256).alias("_loomql_digest"), key)
+    return mine.join(kept, ["_loomql_digest", "_loomql_id"], "left_semi").dropDuplicates(["_loomql_digest", "_loomql_id"]).select(*docs.columns)
