@@ -24,12 +24,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def verified(least: Column, short: Column, long: Column) -> Column:
+    """The smallest identifier, if the texts under its digest are of one length."""
+    return F.when(short == long, least).otherwise(F.raise_error(F.lit("two texts with one SHA-256")))
+
+
 def merge_up(entries: DataFrame) -> DataFrame:
-    """One round: the runs of each group merge; ``same`` stays true while the lengths agree."""
+    """One round: the runs of each group merge, and the smallest identifier of a digest stays."""
     return (
         entries.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
         .groupBy("digest", "run")
-        .agg(F.min("least").alias("least"), F.sum("rows").alias("rows"), F.min("short").alias("short"), F.max("long").alias("long"))
+        .agg(verified(F.min("least"), F.min("bytes"), F.max("bytes")).alias("least"), F.sum("rows").alias("rows"), F.min("bytes").alias("bytes"))
     )
 
 
@@ -48,17 +53,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("run", F.pmod(F.xxhash64("id"), F.lit(FAN_IN**ROUNDS)).cast("int")),
         "digests",
     )
-    levels = [
-        rows.groupBy("digest", "run").agg(
-            F.min("id").alias("least"), F.count("*").alias("rows"), F.min("bytes").alias("short"), F.max("bytes").alias("long")
-        )
-    ]
+    leaves = rows.groupBy("digest", "run").agg(
+        verified(F.min("id"), F.min("bytes"), F.max("bytes")).alias("least"), F.count("*").alias("rows"), F.min("bytes").alias("bytes")
+    )
+    levels = [leaves]
     for _ in range(ROUNDS):
         levels.append(merge_up(levels[-1]))
-    top = levels[-1].withColumn(
-        "least", F.when(F.col("short") == F.col("long"), F.col("least")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")))
-    )
-    found = written(top.filter("rows > 1").select("digest", "run", F.col("least").alias("keep_id"), F.col("rows").alias("group_size")), "groups")
+    found = written(levels[-1].filter("rows > 1").select("digest", "run", F.col("least").alias("keep_id"), F.col("rows").alias("group_size")), "groups")
     # Down again: each level's entry meets only the entries of the runs that it came from.
     for level in range(ROUNDS - 1, -1, -1):
         below = levels[level].select("digest", "run").withColumn("up", F.floor(F.col("run") / FAN_IN).cast("int"))

@@ -6,8 +6,9 @@ and (q, 0) are the nearer the larger q.x is. Routing objects of the upper level
 those of pages; a page keeps its routing object's distance to the parent, its covering radius
 and the least distance in it, and an entry its distance to its page's routing object. Bounds
 by the triangle inequality on these stored distances decide, first without computing anything, which
-pages and entries a query can still need. Queries go through a tree in blocks, each query's pages in
-the order of their bounds, so most of its k best are known early.
+pages and entries a query can still need. Queries go through a tree in blocks, best first: each query
+begins with the pages of its own smallest bounds, and the block takes the others in the order of the smallest
+bound that any of its queries has there, so that most of the k best are known early.
 
 Every block of queries meets every part, as an exact search of stated queries has to; the blocks are
 joined to parts by key and what comes back is k rows for each query and part.
