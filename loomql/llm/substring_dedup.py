@@ -77,13 +77,13 @@ def unpack_texts(blob: bytes) -> list[bytes]:
 
 
 def laid_out(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of a batch one after another, and where each text begins."""
-    split = [t.split() for t in texts]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
-    flat = np.empty(first[-1], np.uint64)
-    for words, at in zip(split, first, strict=False):
-        flat[at : at + len(words)] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return flat, first
+    """The word hashes of a batch one after another, and where each text begins. One text's words are held at a time."""
+    parts = []
+    for text in texts:
+        words = text.split()
+        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+    first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    return np.concatenate(parts), first
 
 
 def starts(first: np.ndarray, size: int, step: int = 1) -> np.ndarray:
