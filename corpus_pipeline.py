@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomql.llm.exact_dedup import exact_dedup
+from loomql.llm.near_copies import drop_near
 from loomql.llm.packing import packed_documents
 from loomql.llm.quality import keep_quality
 from loomql.llm.shared import read_table, written
-from loomql.llm.simhash import near_dedup
 from loomql.llm.substring_dedup import substring_dedup
 
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked SimHash fingerprints, the document with the smallest doc_id."""
-    return near_dedup(docs)
+    """Of each component of texts linked by 5-word shingles (Jaccard 0.8 or more), the document with the smallest doc_id."""
+    return drop_near(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

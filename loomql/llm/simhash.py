@@ -12,7 +12,7 @@ Only distinct fingerprints are indexed: copies never meet. A variant that more t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +120,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return placed(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: Callable[[DataFrame, str, str], DataFrame] = placed) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the one with its smallest identifier.
 
     Of rows with that identifier one stays, that whose text hashes lowest. Where all of a component's identifiers are null, they go.
+    ``place`` gives each row's component: by fingerprints, unless another is given.
     """
-    own = placed(docs, id_col, text_col).filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("_loomql_hash"))
+    own = place(docs, id_col, text_col).filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("_loomql_hash"))
     kept = own.select(F.col("component_id").alias("_loomql_id"), "_loomql_hash")
     mine = docs.select("*", F.col(id_col).alias("_loomql_id"), F.xxhash64(text_col).alias("_loomql_hash"))
     keys = ["_loomql_id", "_loomql_hash"]
