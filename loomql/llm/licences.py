@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Every line of every text is a paragraph. Its word and word-pair hashes are the sparse features of a
+Every line of every text is a paragraph, and so is every run of words, over the lines of a block
+without blank lines or inside one line, that holds most of a template's words. Its word and word-pair hashes are the sparse features of a
 logistic regression over licence families and an unknown class. The regression is fitted on the
 templates below, whole and in damaged forms, against paragraphs of a bounded sample of the
 documents and sentences that only talk of licences; a temperature fitted on forms left out
@@ -132,7 +133,7 @@ def fit(unknown: list[str], seed: int = 3) -> dict:
     labels = np.array([rows[i][1] for i in held])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean()
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return {"w": w, "c": c, "heat": heat, "known": [np.unique(word_hashes(words, t.encode())) for ts in TEMPLATES.values() for t in ts], "of": [i for i, ts in enumerate(TEMPLATES.values(), 1) for _ in ts]}
+    return {"w": w, "c": c, "heat": heat, "known": [np.unique(word_hashes(words, t.encode())) for ts in TEMPLATES.values() for t in ts], "lengths": [len(word_hashes(words, t.encode())) for ts in TEMPLATES.values() for t in ts], "of": [i for i, ts in enumerate(TEMPLATES.values(), 1) for _ in ts]}
 
 
 def predict(model: dict, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +159,28 @@ def likeness(model: dict, h: np.ndarray, family: int) -> float:
     return max(float(np.isin(t, h).mean()) for t, of in zip(model["known"], model["of"], strict=True) if of == family)
 
 
+def runs(model: dict, h: np.ndarray) -> list[tuple[int, int]]:
+    """The (first, end) of runs of a block's word hashes with ``ALIKE`` of a template's distinct words; none overlap for one template."""
+    out = set()
+    for t, length in zip(model["known"], model["lengths"], strict=True):
+        if np.isin(t, h).mean() < ALIKE:
+            continue
+        wide = length + length // 8 + 2  # room for a few other words
+        hits, cover = [np.flatnonzero(h == w) for w in t], np.zeros(len(h), np.int64)
+        for at in hits:
+            step = np.zeros(len(h) + 1, np.int64)
+            np.add.at(step, np.maximum(at - wide + 1, 0), 1)
+            np.add.at(step, at + 1, -1)
+            cover += np.cumsum(step[:-1]) > 0
+        places = np.sort(np.concatenate(hits))
+        while cover.max() / len(t) >= ALIKE:
+            i = int(cover.argmax())
+            inside = places[(places >= i) & (places < i + wide)]
+            out.add((int(inside[0]), int(inside[-1]) + 1))
+            cover[max(0, i - wide + 1) : i + wide] = 0
+    return sorted(out)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Fit with the paragraphs of at most ``sample`` documents as unknown: those whose identifiers hash lowest."""
     chosen = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id")).limit(sample).distinct()
@@ -170,12 +193,23 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
     """A row for each input row: id, n_paragraphs, and findings: (paragraph from 0, family, probability, likeness, confirmed).
 
-    Whole texts are read. A null or empty text has no paragraphs. Rows stand alone; other columns play no part.
+    A run over several lines, or inside one, counts from its first line, if it is confirmed and no line of it is by itself in that
+    family; its lines' unconfirmed findings go. Whole texts are read. A null or empty text has no paragraphs. Rows stand alone; other columns play no part.
     """
     model = model or train(docs, SAMPLE, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     shape = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
 
+    vocabulary = np.unique(np.concatenate(model["known"]))
+    holds = np.array([np.isin(vocabulary, t) for t in model["known"]], np.float64)
+
+    def likely(h: np.ndarray) -> bool:
+        """Whether the words hold enough of any template's, in whatever order."""
+        at = np.searchsorted(vocabulary, h).clip(max=len(vocabulary) - 1)
+        there = np.zeros(len(vocabulary))
+        there[at[vocabulary[at] == h]] = 1
+        return bool((holds @ there >= ALIKE * holds.sum(axis=1) - 1e-9).any())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -184,19 +218,36 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             def settle() -> None:
                 family, sure = predict(model, held)
                 for j in np.flatnonzero((family > 0) & (sure >= SURE)):
-                    doc, line = places[j]
+                    doc, line, last = places[j]
                     alike = likeness(model, held[j], family[j])
+                    if last is not None:  # a run
+                        if alike < ALIKE or any(f[4] and f[1] == FAMILIES[family[j]] and line <= f[0] <= last for f in found[doc]):
+                            continue
+                        found[doc] = [f for f in found[doc] if f[4] or not line <= f[0] <= last]
                     found[doc].append((line, FAMILIES[family[j]], float(sure[j]), alike, alike >= ALIKE))
 
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 found.append([])
-                lines = [x for x in (text.as_py() or b"").split(b"\n") if x.strip()]
+                lines, blocks, blank = [], [[]], False
+                for x in (text.as_py() or b"").split(b"\n"):
+                    if x.strip():
+                        if blank:
+                            blocks.append([])
+                        blocks[-1].append(len(lines))
+                        lines.append(x)
+                    blank = not x.strip()
                 counts.append(len(lines))
-                for n, line in enumerate(lines):
-                    h = word_hashes(words, line)
+                hashes = [word_hashes(words, line) for line in lines]
+                units = [(h, n, None) for n, h in enumerate(hashes)]
+                for block in blocks if hashes and likely(np.concatenate(hashes)) else []:
+                    flat = np.concatenate([hashes[n] for n in block])
+                    of = np.repeat(block, [len(hashes[n]) for n in block])
+                    if likely(flat):
+                        units += [(flat[a:b], int(of[a]), int(of[b - 1])) for a, b in runs(model, flat)]
+                for h, n, last in units:
                     if len(h):
                         held.append(h)
-                        places.append((i, n))
+                        places.append((i, n, last))
                         size += len(h)
                     if size >= 100_000:
                         settle()
