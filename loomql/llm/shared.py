@@ -1,4 +1,4 @@
-"""Helpers that the operators of this package share: tables, and steps written to the shared folder."""
+"""Helpers that the operators of this package share: tables, steps written to the shared folder, and taking rows out."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The words of a text are the runs outside these six characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -16,9 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, one that is made and set."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset and all runs on this machine, as in tests, one that is made and set.
+
+    On a cluster an unset folder is an error: what executors write to their own disks the others never see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,12 +45,50 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``written`` made, once no result depends on it."""
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once no result depends on them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lowest(rows: DataFrame, key: str, text: str, most: int, size: int) -> DataFrame:
+    """At most ``most`` rows of at most ``size`` bytes of text together, for the driver: a row for each key, those whose keys hash lowest.
+
+    Of rows that share a key the one whose text hashes lowest counts. Texts are chosen by identifiers, hashes and sizes alone, so they
+    are read once. A text over ``size // 16`` bytes isn't chosen at all, so that a few can't take all the room.
+    """
+    light = rows.select(key, F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes")).filter(F.col(key).isNotNull() & (F.col("bytes") <= size // 16))
+    one = light.groupBy(key).agg(F.min(F.struct("hash", "bytes")).alias("x")).select(key, "x.*").orderBy(F.xxhash64(key), key).limit(most)
+    taken, room = [], size
+    for r in one.collect():  # at most ``most`` light rows
+        room -= r["bytes"]
+        if room < 0:
+            break
+        taken.append((r[key], r["hash"]))
+    spark = rows.sparkSession
+    chosen = spark.createDataFrame(taken, f"`{key}` {rows.schema[key].dataType.simpleString()}, hash long").withColumnsRenamed({key: "_key", "hash": "_hash"})
+    same = (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
+    return rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates([key])
+
+
+def taken_out(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns. ``rows`` says of each whether it stays: id, hash (xxhash64 of the text) and kept.
+
+    What goes is usually far less than what stays, and it is light: Spark broadcasts it if its files are small, and else deals both
+    sides by key. Only rows that repeat both identifier and text are read a second time, to keep one of them.
+    """
+    fates = rows.groupBy("id", "hash").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    fates = written(fates.filter("n > 1 or not stays"), "fates")
+    same = docs[id_col].eqNullSafe(fates["id"]) & (F.xxhash64(docs[text_col]) == fates["hash"])
+    out = docs.join(fates, same, "left_anti")
+    again = fates.filter("stays")
+    if not again.isEmpty():
+        twice = docs.join(again, same, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+        out = out.unionByName(twice.dropDuplicates(["id", "hash"]).select("row.*"))
+    return out
