@@ -40,6 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, and the one before is deleted.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    done = lambda: now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    if now.isEmpty():
+        return done()
     sums = None
     for _ in range(MOST_ROUNDS):
         # The large star hangs larger neighbours on the least one; the small star hangs smaller ones.
@@ -50,7 +53,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if sums == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
+            return done()
     raise RuntimeError("components did not settle")

@@ -5,29 +5,32 @@ differ in at most two bits, one half differs in at most one bit. Each half is in
 its 32 variants with one bit left out, so such halves share a variant. An equality join on the
 variants gives candidates and the whole fingerprints verify them.
 
-Only distinct fingerprints are indexed: copies never meet. A variant that more than
-``BUCKET`` distinct fingerprints share is not joined with itself; its members go the way of
-``hubs`` instead, which finds every link among them with 65 rows for each.
+Only distinct fingerprints are indexed: copies never meet. The members of a variant that more than
+``BUCKET`` distinct fingerprints share are indexed again, under it and the variants of the other half's
+halves, one of which differs in at most one bit by the same reasoning; and so on down to single bits, where no more than
+some hundred fingerprints can share all variants. So a variant in a third of all fingerprints
+is split within the method and loses no link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import tasks, written
+from .shared import taken_out, tasks, written
 
-WORDS, SEED, DISTANCE, HALF = 3, 42, 2, 32
+WORDS, SEED, DISTANCE = 3, 42, 2
 #: Shingles hashed and counted at a time in a long text.
 BLOCK = 1 << 16
 #: The most fingerprints of a variant that are joined with each other.
-BUCKET = 32
+BUCKET = 256
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -61,52 +64,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, hash long, fp long")
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): 64 rows for each fingerprint. The key holds the half, the bit left out and the other 31 bits."""
-    fp, j = F.col("fp"), F.col("j")
-    half = F.shiftrightunsigned(fp, 32)
-    low = fp.bitwiseAND(F.lit((1 << HALF) - 1))
-    part = F.when(j < HALF, low).otherwise(half)
-    mask = F.array(*[F.lit(((1 << HALF) - 1) ^ (1 << b)).cast("long") for b in range(HALF)])
-    cut = part.bitwiseAND(F.element_at(mask, (j % HALF + 1).cast("int")))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * HALF - 1))).alias("j")).select((j.cast("long") * F.lit(1 << HALF) + cut).alias("key"), "fp")
+def variants(rows: DataFrame, width: int) -> DataFrame:
+    """(key, rest, fp): ``width`` rows for each row, whose ``rest`` has ``width`` bits to be indexed under ``key``.
+
+    The new key is a hash of the old one, the half that is indexed, the bit left out and its other bits; the other half is left as rest.
+    A clash of hashes only costs a comparison.
+    """
+    half = width // 2
+    low = (1 << half) - 1
+    rest, j = F.col("rest"), F.col("j")
+    parts = F.shiftrightunsigned(rest, half).bitwiseAND(F.lit(low)), rest.bitwiseAND(F.lit(low))
+    first = j < half
+    masks = F.array(*[F.lit(low ^ (1 << b)).cast("long") for b in range(half)])
+    cut = F.when(first, parts[0]).otherwise(parts[1]).bitwiseAND(F.element_at(masks, (j % half + 1).cast("int")))
+    spread = rows.select("key", "rest", "fp", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+    return spread.select(F.xxhash64("key", j, cut).alias("key"), F.when(first, parts[1]).otherwise(parts[0]).alias("rest"), "fp")
 
 
 def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hubs(fps: DataFrame) -> DataFrame:
-    """Edges that link exactly the fingerprints within two bits, through a value at most one bit from both.
-
-    Two fingerprints share such a hub if and only if they differ in at most two bits. A hub has at
-    most 65 members, which are linked to its smallest.
-    """
-    flip = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(64)])
-    near = fps.select("fp", F.explode(flip).alias("f")).select(F.col("fp").bitwiseXOR(F.col("f")).alias("hub"), "fp")
-    return near.groupBy("hub").agg(F.collect_list("fp").alias("all"), F.min("fp").alias("b")).filter("size(all) > 1").select(F.explode("all").alias("a"), "b").filter("a <> b")
-
-
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links."""
+    """Edges (a, b) between distinct fingerprints: every pair within ``DISTANCE`` bits, each once."""
     dealt = fps.repartition(tasks(fps.sparkSession))  # a file of few bytes holds many fingerprints, each of which makes 64 rows
-    shared = variants(dealt).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    members = written(shared, "variants")
-    cold = members.filter(F.col("n") <= BUCKET)
-    left, right = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (differing(F.col("a"), F.col("b")) <= DISTANCE)).select("a", "b")
-    hot = hubs(members.filter(F.col("n") > BUCKET).select("fp").distinct())
-    return pairs.unionByName(hot).distinct()
+    rows, width, found = dealt.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp"), 64, []
+    near = differing(F.col("a"), F.col("b")) <= DISTANCE
+    while True:
+        indexed = variants(rows, width)
+        # Counts are combined before they are shuffled; a variant of two has its pair in its least and greatest.
+        shared = indexed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        shared = written(shared.filter("n > 1"), "variants")
+        width //= 2
+        cold = F.col("n") <= BUCKET if width > 1 else F.lit(True)
+        found.append(shared.filter("n = 2").filter(near).select("a", "b"))
+        crowd = shared.filter("n > 2").filter(cold).select("key")
+        if not crowd.isEmpty():
+            members = written(indexed.join(crowd, "key", "left_semi").select("key", "fp"), "members")
+            left, right = members.select("key", F.col("fp").alias("a")), members.select("key", F.col("fp").alias("b"))
+            found.append(left.join(right, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b"))
+        hot = shared.filter(~cold).select("key")
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+        rows = written(indexed.join(hot, "key", "left_semi"), "hot-variants")
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, fp, component_id) for each row."""
+    """(id, hash, fp, root, component_id) for each row."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
     rooted = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.select("fp", "root").join(least, "root"), "fp")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,13 +131,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: Callable[[DataFrame, str, str], DataFrame] = placed) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the one with its smallest identifier.
+    """The rows of ``docs`` that stay, all columns: one of each component, that with the smallest identifier (null: after all others).
 
-    Of rows with that identifier one stays, that whose text hashes lowest. Where all of a component's identifiers are null, they go.
-    ``place`` gives each row's component: by fingerprints, unless another is given.
+    Of rows with that identifier one stays, that whose text hashes lowest. ``place`` gives (id, hash, root) of each row, root being
+    its component: by fingerprints, unless another is given. No rows give no rows; clashing column names do no harm.
     """
-    own = place(docs, id_col, text_col).filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("_loomql_hash"))
-    kept = own.select(F.col("component_id").alias("_loomql_id"), "_loomql_hash")
-    mine = docs.select("*", F.col(id_col).alias("_loomql_id"), F.xxhash64(text_col).alias("_loomql_hash"))
-    keys = ["_loomql_id", "_loomql_hash"]
-    return mine.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rows = written(place(docs, id_col, text_col).select("id", "hash", "root"), "placed")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")).select("root", F.col("least.id").alias("keep"), F.col("least.hash").alias("text"))
+    fates = rows.join(least, "root").select("id", "hash", (F.col("id").eqNullSafe(F.col("keep")) & (F.col("hash") == F.col("text"))).alias("kept"))
+    return taken_out(docs, fates, id_col, text_col)

@@ -60,7 +60,9 @@ def test_groups(spark):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted((tuple(g) for g in got), key=key) == sorted(want, key=key)
     kept = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values()) and kept.columns == SCHEMA.replace("long", "").replace("string", "").replace(" ", "").split(",")
+    alone = [r for r, f in zip(rows, fps) if root[f] not in least]  # no identifier in its component: stays all the same
+    key = lambda r: (r is None, r or 0)
+    assert len(alone) == 1 and sorted((r.doc_id for r in kept.collect()), key=key) == sorted([*least.values(), None], key=key) and kept.columns == SCHEMA.replace("long", "").replace("string", "").replace(" ", "").split(",")
 
 
 def test_links_of_crowded_and_common_variants(spark, monkeypatch):
@@ -85,6 +87,20 @@ def test_two_texts_under_one_identifier(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, "alone here"), (5, "quite another text")]
 
 
+def test_rows_without_identifier_stay(spark):
+    rows = [(None, "one two three four five six"), (None, "quite another text of its own"), (None, "quite another text of its own"), (7, None), (8, "")]
+    kept = simhash.near_dedup(spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("7", None), ("None", "one two three four five six"), ("None", "quite another text of its own")]
+
+
+def test_clashing_names(spark):
+    schema = "doc_id string, text string, root long, hash string, kept boolean, row int, key int, node string"
+    rows = [("a", "one two three", 1, "h", True, 2, 3, "n"), ("b", "one two three", 1, "h", True, 2, 3, "n"), ("b", "one two three", 1, "h", True, 2, 3, "n")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, schema))
+    assert [tuple(r) for r in kept.collect()] == rows[:1]
+
+
 def test_no_rows(spark):
+    assert simhash.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
     got = simhash.near_groups(spark.createDataFrame([], SCHEMA))
     assert got.collect() == [] and got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
