@@ -1,13 +1,15 @@
-"""Near copies by word shingles: texts linked at a Jaccard similarity of 0.8 or more of their sets of five words.
-
-Bands of minhashes give candidates, and the shingles of both texts decide each. Only distinct
-sets of shingles (nodes) are compared. Two nodes at 0.8 share none of the 20 bands of 4
-minhashes with probability 0.00003; above 0.8 it is less.
-
-A band shared by many nodes is not joined with itself at once. First all are compared with its
-most central node; pairs that are still in different components are then compared with growing
-samples of its nodes, and with all of them in the end. So a crowd of copies costs one
-comparison each, and no pair of different components is passed over.
+"""Near copies by SimHash over shingles of five words: texts linked at a Jaccard similarity of 0.8 or more.
+
+Two bits of 64 are far too near for such copies, so fingerprints have ``SEGMENTS`` segments of ``WIDTH`` bits. A pair is a candidate
+if one of them differs by at most one bit: segments are indexed under variants with one bit left out, and an
+equality join on the variants gives candidates. A bit that differs is nearly always one that is nearly undecided in
+both texts, so only the ``WEAK`` least decided bits of a segment are left out in turn: 96 variants a text in all. At a similarity
+of 0.8 a segment is shared with probability 0.17, and one of 24 with 0.989; at 0.85 with 0.999 (computed for texts of many shingles). Sizes and whole fingerprints sift the candidates, and the shingles of both texts decide each.
+
+Only distinct sets of shingles (nodes) are compared. A variant of more than ``BUCKET`` nodes is not joined with itself.
+First all are compared with its most central node; those outside the variant's largest component are then compared
+with growing samples of it, and with all of it in the end. So a crowd of copies costs one
+comparison each, and no candidate pair of different components is passed over.
 """
 
 from __future__ import annotations
@@ -17,22 +19,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
-from .simhash import SEED, near_dedup
+from .shared import discard, tasks, written
+from .simhash import SEED, differing, near_dedup
 
 WORDS, ALIKE = 5, 0.8
-BANDS, ROWS = 20, 4
-#: Shingles multiplied out at a time; pairs of one node that go to a task together.
-BLOCK, SHARE = 1 << 10, 64
-#: The nodes of a band that all others are compared with in the first round after the central one, and the growth from round to round.
-SAMPLE, GROWTH = 32, 8
+SEGMENTS, WIDTH, WEAK = 24, 16, 4
+#: 64-bit words of a fingerprint, and the bits of the first and of all in which a pair at ``ALIKE`` may differ: 3.6 deviations over the mean.
+LONGS, MOST_OF_FIRST, MOST = 6, 20, 84
+#: Shingles whose bits are counted at a time; pairs of one node that go to a task together.
+BLOCK, SHARE = 1 << 14, 64
+#: The most nodes of a variant that are joined with each other; of a larger one, those compared in the first round after the central one, and the growth from round to round.
+BUCKET, SAMPLE, GROWTH = 32, 32, 8
 _rng = np.random.default_rng(SEED)
-FLIPS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+FLIPS = _rng.integers(0, 1 << 64, LONGS, np.uint64)
+FACTORS = _rng.integers(0, 1 << 64, LONGS, np.uint64) | np.uint64(1)
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
@@ -46,36 +51,43 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def sketch(text: bytes) -> tuple[int, int, list[int]]:
-    """A digest of the set of shingles, its size, and the keys of its bands; 0, 0 and none without words."""
+def sketch(text: bytes) -> tuple[int, int, list[int], list[int]]:
+    """A digest of the set of shingles, its size, the words of its fingerprint, and its variants; 0, 0 and none without words."""
     h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)), np.uint64))
     if not len(h):
-        return 0, 0, []
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+        return 0, 0, [0] * LONGS, []
+    ones = np.zeros(64 * LONGS, np.int64)
     for at in range(0, len(h), BLOCK):
-        np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), np.array(keys, np.uint64).view(np.int64).tolist()
+        z = (h[at : at + BLOCK, None] ^ FLIPS) * FACTORS
+        z ^= z >> np.uint64(32)
+        z *= MIX
+        z ^= z >> np.uint64(29)
+        ones += np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    over = 2 * ones - len(h)
+    bits = over > 0
+    weak = np.argsort(np.abs(over).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :WEAK]
+    segments = np.packbits(bits, bitorder="little").view(np.uint16).astype(np.int64)[:, None]
+    keys = (np.arange(SEGMENTS)[:, None] * WIDTH + weak << WIDTH) | segments & ~(1 << weak)
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), np.packbits(bits, bitorder="little").view(np.int64).tolist(), keys.ravel().tolist()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, node, size, bands) for each row: a hash of its text, and the sketch. Null texts count as empty."""
+    """(id, hash, node, size, bits, keys) for each row: a hash of its text, and the sketch. Null texts count as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
             nodes = np.array([f[0] for f in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"id": batch.column(0), "hash": batch.column(1), "node": pa.array(nodes), "size": pa.array([f[1] for f in found], pa.int64()), "bands": pa.array([f[2] for f in found], pa.list_(pa.int64()))}
-            )
+            cols = {"node": pa.array(nodes), "size": pa.array([f[1] for f in found], pa.int64()), "bits": pa.array([f[2] for f in found], pa.list_(pa.int64())), "keys": pa.array([f[3] for f in found], pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(1)} | cols)
 
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, hash long, node long, size long, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, hash long, node long, size long, bits array<long>, keys array<int>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' shingles are alike. A node with many pairs is dealt to several tasks."""
+    """The pairs (a, b) whose texts' shingles are alike. Whole fingerprints sift them first; a node with many pairs is dealt to several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -87,56 +99,77 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(similarity(own, shingles(tb.as_py() or b"")) >= ALIKE)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    whole = lambda name: nodes.select(F.col("node").alias(name), F.col("bits").alias(f"{name}_bits"))
+    apart = sum((differing(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(1, LONGS)), differing(F.col("a_bits")[0], F.col("b_bits")[0]))
+    pairs = written(pairs.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= MOST).select("a", "b"), "sifted-pairs")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = written(texts.join(nodes.join(used, "node", "left_semi").select("node", "hash"), "hash").dropDuplicates(["node"]).select("node", "text"), "compared-texts")
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("k"))
     left = held.withColumnRenamed("node", "a").join(shares, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("share"), F.col("text").alias("ta"))
     dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("share"))
     right = dealt.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return right.join(left, ["a", "share"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    links = written(right.join(left, ["a", "share"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    discard(held, pairs)
+    return links
+
+
+def near(left: str, right: str) -> Column:
+    """Whether two nodes can be alike by their sizes and the first words of their fingerprints."""
+    a, b = F.col(f"{left}size"), F.col(f"{right}size")
+    return (F.least(a, b) >= F.greatest(a, b) * F.lit(ALIKE) - 1e-6) & (differing(F.col(f"{left}word"), F.col(f"{right}word")) <= MOST_OF_FIRST)
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link. ``nodes`` has node, hash, size and bands; ``texts`` hash and text."""
-    bands = written(nodes.select(F.explode("bands").alias("key"), "node", "size"), "bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(bands.join(shared, "key"), "shared-bands")
+    """(node, root) of every node with a link. ``nodes`` has node, hash, size, bits and keys; ``texts`` hash and text."""
+    dealt = nodes.select("node", "size", F.col("bits")[0].alias("word"), "keys").repartition(tasks(nodes.sparkSession))
+    rows = dealt.select(F.explode("keys").alias("key"), "node", "size", "word")
+    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot-variants")
+    crowded = not hot.isEmpty()
+    cold = rows.join(hot, "key", "left_anti") if crowded else rows
+    other = cold.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "size", "word")])
+    ordered = [F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")]
+    done = written(cold.join(other, "key").filter((F.col("node") < F.col("p_node")) & near("", "p_")).select(*ordered).distinct(), "pairs")
+    edges = verified(done, nodes, texts)
+    roots = written(components(edges), "roots")
+    if not crowded:
+        return roots
+    members = written(rows.join(hot, "key"), "crowds")
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    pivots = members.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("p"), F.max_by("size", F.struct("weight", "node")).alias("p_size"))
-    sizes = F.least("size", "p_size") >= F.greatest("size", "p_size") * F.lit(ALIKE) - 1e-6  # sets of such sizes alone can be alike
-    ordered = [F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")]
-    done = written(members.join(pivots, "key").filter((F.col("node") != F.col("p")) & sizes).select(*ordered).distinct(), "pairs")
-    edges = written(verified(done, nodes, texts), "links")
+    by = F.struct("weight", "node")
+    pivots = members.join(central, "node").groupBy("key").agg(*[F.max_by(c, by).alias(f"p_{c}") for c in ("node", "size", "word")])
+    pairs = members.join(pivots, "key").filter((F.col("node") != F.col("p_node")) & near("", "p_")).select(*ordered).distinct()
     limit = SAMPLE
     while True:
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        edges = written(edges.unionByName(verified(pairs, nodes, texts)), "links")
+        done = written(done.unionByName(pairs), "pairs")
         roots = written(components(edges), "roots")
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-        live = written(rooted.join(mixed, "key", "left_semi"), "mixed-bands")
+        rooted = rooted.join(roots.groupBy("root").agg(F.count("*").alias("others")), "root", "left").withColumn("others", F.coalesce("others", F.lit(1)))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct("others", "root")).alias("top")).filter("r <> s")
+        live = written(rooted.join(mixed.select("key", F.col("top.root").alias("main")), "key"), "mixed-crowds")
         most = live.agg(F.max("n")).first()[0]
-        if most is None:
+        if most is None or limit >= GROWTH * most:  # the round before took all
             return roots
         some = live.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit).cast("long")) == 0)
-        some = some.select("key", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("root").alias("p_root"))
-        pairs = live.join(some, "key").filter((F.col("root") != F.col("p_root")) & sizes).select(*ordered).distinct()
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        edges = written(edges.unionByName(verified(pairs, nodes, texts)), "links")
-        if limit >= most:
-            return written(components(edges), "roots")
-        done, limit = written(done.unionByName(pairs), "pairs"), limit * GROWTH
+        some = some.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "size", "word", "root")])
+        pairs = live.filter("root <> main").join(some, "key").filter((F.col("root") != F.col("p_root")) & near("", "p_")).select(*ordered).distinct()
+        limit *= GROWTH
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, node, component_id) for each row."""
+    """(id, hash, root) for each row."""
     rows = written(sketches(docs, id_col, text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("hash").alias("hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")])
     nodes = written(nodes, "nodes")
     roots = links(nodes, docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")))
-    rooted = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "hash", "node").join(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "node")
+    rooted = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("id", "hash", "node").join(rooted, "node").select("id", "hash", "root")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component of near copies the one with its smallest identifier."""
+    """The rows of ``docs`` that stay, all columns: of each component of near copies the one with its smallest identifier.
+
+    Null and empty texts are copies of each other. For null identifiers, repeats and column names see ``near_dedup``.
+    """
     return near_dedup(docs, id_col, text_col, placed)

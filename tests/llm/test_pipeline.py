@@ -8,8 +8,8 @@ import pytest
 
 from loomql.llm import queries, simhash
 from loomql.llm.shared import read_table, written
+from tests.llm.test_near_copies import plain as near_copies
 from tests.llm.test_simhash import plain as fingerprint
-from tests.llm.test_simhash import roots
 from tests.llm.test_substring_dedup import plain as removed
 
 SF = "/root/testdata/sf0.001"
@@ -43,12 +43,7 @@ def test_stages(stages, spark):
     assert after == {k: before[k] for k in least.values()}
 
     before, after = (texts(f) for f in stages[2])
-    fps = {k: fingerprint(t) for k, t in before.items()}
-    root = roots(set(fps.values()))
-    least = {}
-    for k, f in fps.items():
-        least[root[f]] = min(least.get(root[f], k), k)
-    assert after == {k: before[k] for k in least.values()}
+    assert after == {k: before[k] for k in near_copies(before)}
 
     before, after = (texts(f) for f in stages[3])
     want = {k: (n, h) for k, _, n, h in removed(list(before.items()))}
