@@ -3,8 +3,8 @@
 An ARC file opens with a version block that says how many fields its header lines have: five in version
 1, ten in version 2, the last being the length of what follows. Conversion keeps the captured bytes and
 synthesises what ARC lacks: record identifiers, ISO timestamps, record types and SHA-1 digests. Payloads
-that repeat become revisits. WARC files come from Spark's text writer, with the blank lines that
-end a record as its line separator, so they can go to any file system that Spark writes to.
+that repeat become revisits. Each task makes whole WARC files of bounded size, a warcinfo record first and every record a gzip member
+of its own; Spark's text writer puts each into a file, so they can go to any file system that Spark writes to.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .shared import new_path, written
 
 #: Payloads from this many bytes on become revisits when they repeat.
 REVISIT = 1000
-#: Bytes of an archive made from pages; records of a WARC file at most.
-ARCHIVE, RECORDS = 4 << 20, 20_000
+#: Bytes of an archive made from pages; of a WARC file, which one record may take over it.
+ARCHIVE, FILE = 4 << 20, 32 << 20
 CAPTURED = "20240101000000"
 #: Fields of a header line in each version: fixed by the format.
 FIELDS = {
@@ -32,6 +33,8 @@ FIELDS = {
     2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member of nothing, which the text writer puts at a file's end.
+NOTHING = bytes.fromhex("1f8b0800000000000003" "03000000000000000000")
 #: What can't stand in a field of a header line.
 UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
 
@@ -97,6 +100,12 @@ def header(head: bytes, name: bytes) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
+def page_number(mark: str | None) -> int | None:
+    """The identifier in a capture's head, if it is one that fits a long."""
+    n = int(mark) if mark and re.fullmatch(r"-?[0-9]{1,19}", mark) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 def iso_date(digits: str) -> str:
     """The 14 digits of ARC as WARC has them; fewer are filled up with the earliest time, junk becomes the epoch."""
     d = (digits + "00000101000000"[len(digits) :])[:14] if digits.isdigit() and len(digits) >= 4 else "19700101000000"
@@ -126,37 +135,38 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "name string, content binary")
 
 
-RECORD = "record_id string, page_id long, url string, date string, mime string, head binary, payload binary, sha1 string, bytes long, error string"
+RECORD = "archive string, record_id string, page_id long, url string, date string, mime string, head binary, payload binary, sha1 string, bytes long, second long, error string"
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
     """A row for each capture of (name, content) archives, with the WARC fields that its ARC header and content determine.
 
     The identifier is a function of address, date, page and payload, so a task that runs again gives the same.
-    Archives that end badly give their good captures, then a row with an error.
+    Archives that end badly give their good captures, then a row with the archive's name and an error. ``second`` is another digest of the payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
-        kinds = [pa.binary() if c in ("head", "payload") else pa.int64() if c in ("page_id", "bytes") else pa.string() for c in names]
+        kinds = [pa.binary() if c in ("head", "payload") else pa.int64() if c in ("page_id", "bytes", "second") else pa.string() for c in names]
         for batch in batches:
-            for blob in batch.column(0):
+            for archive, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for fields, content, error in arc_captures(blob.as_py() or b""):
                     if fields is None:
-                        rows.append((None,) * 9 + (error,))
+                        rows.append((archive,) + (None,) * 10 + (error,))
                         continue
                     head, payload = http_parts(content)
                     sha1 = hashlib.sha1(payload).hexdigest()
                     mark = header(head, b"X-Page-Id")
-                    key = int(mark) if mark and re.fullmatch(r"-?\d{1,18}", mark) else None
+                    key = page_number(mark)
                     date = iso_date(fields["Archive-date"])
                     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {date} {key} {sha1}")
-                    rows.append((str(name), key, fields["URL"], date, fields["Content-type"], head, payload, sha1, len(payload), None))
+                    second = xxhash.xxh64_intdigest(payload) - (1 << 63)
+                    rows.append((archive, str(name), key, fields["URL"], date, fields["Content-type"], head, payload, sha1, len(payload), second, None))
                 cols = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return archives.select("content").mapInArrow(run, RECORD)
+    return archives.select("name", "content").mapInArrow(run, RECORD)
 
 
 # WARC
@@ -165,40 +175,56 @@ def arc_records(archives: DataFrame) -> DataFrame:
 def revisits(records: DataFrame, least: int = REVISIT) -> DataFrame:
     """(record_id, refers_to_id) of the records whose payload of at least ``least`` bytes the record with the largest page_id repeats.
 
-    Only digests and identifiers are shuffled, and each digest's largest is found with map-side combining.
+    Payloads are equal if two digests and the length are. Only these and identifiers are shuffled, and each payload's largest is found
+    with map-side combining.
     """
-    index = written(records.filter(F.col("error").isNull() & (F.col("bytes") >= least)).select("record_id", "page_id", "sha1"), "captures")
-    last = index.groupBy("sha1").agg(F.max(F.struct("page_id", "record_id")).alias("last"), F.count("*").alias("n")).filter("n > 1")
-    return index.join(last.select("sha1", "last"), "sha1").filter(~F.col("page_id").eqNullSafe(F.col("last.page_id"))).select("record_id", F.col("last.record_id").alias("refers_to_id")).distinct()
-
-
-def labelled(sha1):
-    """A digest field: the algorithm and the hexadecimal digits."""
-    return F.concat(F.lit("sha1:"), sha1)
-
-
-def write_warc(records: DataFrame, path: str, least: int = REVISIT) -> None:
-    """Write gzipped WARC 1.1 files: responses, resources where there is no HTTP head, and revisits without payload."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    rows = records.filter(F.col("error").isNull()).join(revisits(records, least), "record_id", "left")
-    again = F.col("refers_to_id").isNotNull()
-    http = F.octet_length("head") > 0
-    block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
-    top = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(again, "revisit").when(http, "response").otherwise("resource")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), "record_id", F.lit(">"))),
-        line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("url")),
-        F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), "refers_to_id", F.lit(">"))))).otherwise(F.lit("")),
-        line("Content-Type", F.when(http, "application/http;msgtype=response").otherwise(F.col("mime"))),
-        line("WARC-Payload-Digest", labelled(F.col("sha1"))),
-        line("WARC-Block-Digest", labelled(F.sha1(block))),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"),
-    )
-    text = F.concat(top.cast("binary"), block).cast("string")
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    payload = ["sha1", "bytes", "second"]
+    index = written(records.filter(F.col("error").isNull() & (F.col("bytes") >= least)).select("record_id", "page_id", *payload), "captures")
+    last = index.groupBy(*payload).agg(F.max(F.struct("page_id", "record_id")).alias("last"), F.count("*").alias("n")).filter("n > 1")
+    return index.join(last.select(*payload, "last"), payload).filter(~F.col("page_id").eqNullSafe(F.col("last.page_id"))).select("record_id", F.col("last.record_id").alias("refers_to_id")).distinct()
+
+
+def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record as a gzip member."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    top = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Length", len(block))])
+    return b"".join([made.compress(b"WARC/1.1\r\n" + top.encode() + b"\r\n"), made.compress(block), made.compress(b"\r\n\r\n"), made.flush()])
+
+
+def warcinfo(date: str) -> bytes:
+    block = b"software: loomql\r\nformat: WARC File Format 1.1\r\n"
+    return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], block)
+
+
+def write_warc(records: DataFrame, path: str, least: int = REVISIT, size: int = FILE) -> DataFrame:
+    """Write WARC 1.1 files of about ``size`` bytes: responses, resources where there is no HTTP head, and revisits without payload.
+
+    Returns the (archive, error) of what couldn't be converted, which is in no file.
+    """
+    columns = ["record_id", "url", "date", "mime", "head", "payload", "sha1", "refers_to_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], size
+        for batch in batches:
+            for name, url, date, mime, head, payload, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind = "revisit" if refers else "response" if head else "resource"
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("WARC-Target-URI", url)]
+                if refers:
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{refers}>")]
+                fields += [("Content-Type", "application/http;msgtype=response" if head else mime), ("WARC-Payload-Digest", f"sha1:{sha1}")]
+                held = held or [warcinfo(date)]
+                held.append(warc_record(fields, head if refers else head + payload))
+                room -= len(held[-1])
+                if room <= 0:
+                    yield pa.RecordBatch.from_pydict({"content": [b"".join(held)]})
+                    held, room = [], size
+        if held:
+            yield pa.RecordBatch.from_pydict({"content": [b"".join(held)]})
+
+    rows = records.filter(F.col("error").isNull()).join(revisits(records, least), "record_id", "left").select(*columns)
+    files = rows.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))  # the writer takes the bytes as they are
+    files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
+    return records.filter(F.col("error").isNotNull()).select("archive", "error")
 
 
 def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -246,7 +272,7 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: record_id, page_id, record_type, payload_bytes, payload_digest, refers_to_id; the digests of blocks and payloads are checked."""
+    """A row for each record but warcinfo: record_id, page_id, record_type, payload_bytes, payload_digest, refers_to_id; the digests of blocks and payloads are checked."""
     names = ["record_id", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +280,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for blob in batch.column(0):
                 rows = []
                 for fields, block in warc_records(blob.as_py()):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = http_parts(block)
                     again = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -261,7 +289,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"{fields['WARC-Record-ID']}: wrong digest")
                     mark = header(head, b"X-Page-Id")
                     size = int(header(head, b"Content-Length") or 0) if again else len(payload)
-                    rows.append((fields["WARC-Record-ID"][10:-1], int(mark) if mark else None, fields["WARC-Type"], size, digest, fields["WARC-Refers-To"][10:-1] if again else None))
+                    rows.append((fields["WARC-Record-ID"][10:-1], page_number(mark), fields["WARC-Type"], size, digest, fields["WARC-Refers-To"][10:-1] if again else None))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("page_id", "payload_bytes") else pa.string()) for c, n in zip(cols, names, strict=True)], names)
 

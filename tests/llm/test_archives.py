@@ -32,7 +32,9 @@ def test_round_trip(spark, tmp_path, monkeypatch):
         key = lambda x: tuple(str(v) for v in x)
         assert sorted(map(tuple, got), key=key) == sorted(plain(rows), key=key)
     files = list((tmp_path / "w1").glob("part-*"))
-    records = [x for f in files for x in ar.warc_records(f.read_bytes())]
+    everything = [x for f in files for x in ar.warc_records(f.read_bytes())]
+    records = [x for x in everything if x[0]["WARC-Type"] != "warcinfo"]
+    assert len(everything) == len(records) + len(files) and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") for f in files)
     assert len(records) == len(rows) and all(int(f["Content-Length"]) == len(b) for f, b in records)
     assert gzip.decompress(files[0].read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: ")
     again = [f for f, b in records if f["WARC-Type"] == "revisit"]
@@ -55,9 +57,50 @@ def test_broken_archives(spark, tmp_path):
     frame = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(good[:-2])), ("c", bytearray(b"\xff\xfe")), ("d", None)], "name string, content binary")
     rows = ar.arc_records(frame).collect()
     assert sum(r.error is None for r in rows) == 3 and sum(r.error is not None for r in rows) == 2
-    ar.write_warc(ar.arc_records(frame), str(tmp_path / "w"))
+    failed = ar.write_warc(ar.arc_records(frame), str(tmp_path / "w"))
+    assert sorted(r.archive for r in failed.collect()) == ["b", "c"]
     assert sorted(r.record_type for r in ar.read_warc(spark, str(tmp_path / "w")).collect()) == ["resource", "resource", "response"]
 
 
+def test_identifiers_of_any_size(spark, tmp_path):
+    keys = [5, 1234567890123456789, 1234567890123456790, (1 << 63) - 1, -(1 << 63), -7]
+    rows = [(k, f"http://a/{k}", f"{k % 2}" * 1500) for k in keys] + [(k, f"http://b/{k}", "") for k in keys]
+    got = ar.converted(spark.createDataFrame([(*r, "s", "b", 1) for r in rows], SCHEMA), str(tmp_path / "w")).drop("record_id").collect()
+    want = {(k, max(j for j in keys if j % 2 == k % 2)) for k in keys}
+    assert {(r.page_id, r.refers_to or r.page_id) for r in got if r.payload_bytes} == want and len(got) == 12
+    for mark in ("9223372036854775808", "-9223372036854775809", "1" * 40, "x", "", "\u0661", None):
+        assert ar.page_number(mark) is None
+    assert ar.page_number("-9223372036854775808") == -(1 << 63)
+
+
+#: As crawlers wrote them, by hand: an address with a blank, a header line that ends in CR LF, a checksum, a body with line ends.
+FOREIGN_1 = (
+    b"filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    b"http://www.dryswamp.edu:80/index page.html 127.10.100.2 19961104142103 text/html 40\r\n"
+    b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n<html>\n</html>\n\n"
+)
+FOREIGN_2 = (
+    b"filedesc://x.arc 0.0.0.0 20030101000000 text/plain 200 - - 0 x.arc 118\n2 0 Some Crawler\n"
+    b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n"
+    b"http://a.example/ 10.0.0.1 20030102030405 text/html 200 sha1:ABC - 200 x.arc 30\nHTTP/1.1 200 OK\r\n\r\nhello world\n"
+    b"dns:a.example 10.0.0.1 20030102030406 text/dns 200 - - 300 x.arc 9\n1.2.3.4\n\n\n"
+)
+
+
+def test_foreign_archives():
+    size = lambda data: data.replace(b" 76\n", b" %d\n" % len(data.split(b"\n", 1)[1].split(b"\n\n")[0] + b"\n"), 1)
+    one = list(ar.arc_captures(size(FOREIGN_1)))
+    assert [(f["URL"], f["Archive-date"], e) for f, _, e in one] == [("http://www.dryswamp.edu:80/index page.html", "19961104142103", "")]
+    assert ar.http_parts(one[0][1]) == (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n", b"<html>\n</html>\n")
+    two = list(ar.arc_captures(FOREIGN_2.replace(b" 118\n", b" %d\n" % len(b"2 0 Some Crawler\n" + ar.FIELDS[2] + b"\n"), 1)))
+    assert [(f["URL"], f["Checksum"], c) for f, c, _ in two] == [("http://a.example/", "sha1:ABC", b"HTTP/1.1 200 OK\r\n\r\nhello world"), ("dns:a.example", "-", b"1.2.3.4\n\n")]
+
+
+def test_small_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"{i} " * 400) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    ar.write_warc(ar.arc_records(ar.pages_to_arc(pages)), str(tmp_path / "w"), size=2000)
+    assert len(list((tmp_path / "w").glob("part-*"))) > 3 and ar.read_warc(spark, str(tmp_path / "w")).count() == 40
+
+
 def test_no_rows(spark, tmp_path):
     assert ar.converted(spark.createDataFrame([], SCHEMA), str(tmp_path / "w")).collect() == []
