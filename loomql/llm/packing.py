@@ -42,10 +42,8 @@ ODD = re.compile("[\x1c-\x1f\x85\xaa\xb2\xb3\xb9\xba\xbc-\xbe_]")
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    """One for each Python worker; the strings of special tokens in a text are ordinary text."""
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    """One for each Python worker, as the file has it: strings of its added tokens in a text become their ids."""
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,6 +60,9 @@ class Words(dict):
 
     def __init__(self, tok: Tokenizer):
         self.tok, self.model = tok, tok.model
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        # Texts that hold an added token's string, in whatever case, go to the tokenizer whole.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
@@ -75,7 +76,7 @@ class Words(dict):
 
 def encode(words: Words, text: str) -> np.ndarray:
     """The ids of a text without special tokens, as the tokenizer gives them for the whole text."""
-    if OUTSIDE.search(text) or ODD.search(text):
+    if OUTSIDE.search(text) or ODD.search(text) or (words.added and words.added.search(text)):
         return np.array(words.tok.encode(text, add_special_tokens=False).ids, "<u4")
     found = SPLIT.findall(unicodedata.normalize("NFC", text).lower())
     return np.frombuffer(b"".join(map(words.__getitem__, found)), "<u4")
@@ -114,8 +115,8 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 def patterns(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(((length, times), ...), count), ...]: shortest-pack-first on counts of lengths from 1 to ``size``.
 
-    A length goes into the emptiest packs first, one piece each, while it fits there; then as many to
-    an empty pack as fit, until none are left.
+    A length goes into the emptiest packs first while it fits there: as many pieces to each as the pack takes, if there are
+    enough for all packs of the pattern, and one at least; then as many to an empty pack as fit, until none are left.
     """
     heap: list[tuple[int, int, tuple, int]] = []  # used, number, content, count
     done, number = [], 0
@@ -177,15 +178,20 @@ def pack(rows: DataFrame, size: int = SEQUENCE, spread: int = 64) -> DataFrame:
     """
     spark = rows.sparkSession
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    table = spark.createDataFrame(slots(patterns(histogram, size)), "length long, low long, high long, base long, packs long, begin long")
-    here = F.col("rank") - F.col("low")
+    by_length: dict[int, list] = {}
+    for length, *slot in sorted(slots(patterns(histogram, size))):
+        by_length.setdefault(length, []).append(tuple(slot))
+    table = spark.createDataFrame(list(by_length.items()), "length long, slots array<struct<low:long,high:long,base:long,packs:long,begin:long>>")
+    # The last slot that begins at or before the rank: one row a piece, however many slots its length has.
+    slot = F.element_at(F.filter("slots", lambda x: x["low"] <= F.col("rank")), -1)
+    here = F.col("rank") - F.col("slot.low")
     return (
         ranked(rows, spread)
         .join(F.broadcast(table), "length")  # at most two patterns for each length, whatever the input
-        .filter(F.col("rank").between(F.col("low"), F.col("high")))
-        .withColumn("sequence_id", F.col("base") + here % F.col("packs"))
-        .withColumn("offset", F.col("begin") + F.floor(here / F.col("packs")) * F.col("length"))
-        .drop("rank", "low", "high", "base", "packs", "begin")
+        .withColumn("slot", slot)
+        .withColumn("sequence_id", F.col("slot.base") + here % F.col("slot.packs"))
+        .withColumn("offset", F.col("slot.begin") + F.floor(here / F.col("slot.packs")) * F.col("length"))
+        .drop("rank", "slots", "slot")
     )
 
 

@@ -41,8 +41,10 @@ def test_byte_bpe(spark):
 
 
 def test_every_character_of_the_fast_path():
-    tok = packing.tokenizer(WORDS)
-    words = packing.Words(tok)
+    tok = Tokenizer.from_file(WORDS)
+    words = packing.Words(packing.tokenizer(WORDS))
+    for s in ("hello <|endoftext|> there", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|", "x<|endoftext|><|startoftext|>y é"):
+        assert packing.encode(words, s).tolist() == tok.encode(s, add_special_tokens=False).ids, s
     for c in range(0x180):
         for s in (chr(c), f"a{chr(c)}b", f"1{chr(c)}!", chr(c) * 3, f" {chr(c)}'s", f"{chr(c)}é"):
             assert packing.encode(words, s).tolist() == tok.encode(s, add_special_tokens=False).ids, (c, s)
@@ -58,7 +60,6 @@ def test_packing(spark, size):
     texts = TEXTS + ["w " * rng.randint(0, 60) for _ in range(300)] + ["same words here"] * 200
     rows = [(i, t, "x", 1, "y") for i, t in enumerate(texts)]
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows}
     got = packing.packed_documents(spark.createDataFrame(rows, SCHEMA), size=size, ids=True).collect()
     seen, places = {i: [] for i in ids}, {}
