@@ -8,7 +8,7 @@ a window occurs twice, the block inside the one occurs in the other, at any offs
    range into buckets; the hashes of its grid blocks, the index, are marked. A bucket finds the
    hashes that occur more than once and answers each batch with a bit for each of its blocks.
 3. Documents with such anchors go on. The hits are extended word by word: every window around
-   an anchor is compared, by 96 bits of hash, with those of all documents, again by hash range. A
+   an anchor is compared, by 128 bits of two independent hashes, with those of all documents, again by hash range. A
    bucket answers with a bit for each distinct window: whether the batch holds the earliest one.
 4. Consecutive windows that aren't the earliest make up the maximal repeats; their words go.
 
@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import discard, written
 
@@ -38,18 +39,17 @@ WINDOW, BLOCK = 20, 10
 BATCH, SHARE, BUCKETS = 6 << 20, 4_000_000, 64
 #: Distinct words whose hashes a Python worker remembers.
 VOCABULARY = 1 << 18
-#: A row without an identifier comes after all others.
-LAST = (1 << 63) - 1
 #: Odd factors of the rolling hashes and their finishing.
 FIRST, SECOND, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Word to two independent hashes of 64 bits, one after the other."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= VOCABULARY:
             self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = h
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
 
@@ -77,13 +77,10 @@ def unpack_texts(blob: bytes) -> list[bytes]:
 
 
 def laid_out(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of a batch one after another, and where each text begins. One text's words are held at a time."""
-    parts = []
-    for text in texts:
-        words = text.split()
-        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-    first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    return np.concatenate(parts), first
+    """The word hashes of a batch one after another, in two rows, and where each text begins. One text's words are held at a time."""
+    parts = [b"".join(map(hashes.__getitem__, text.split())) for text in texts]
+    first = np.concatenate(([0], np.cumsum([len(p) // 16 for p in parts]))).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2).T), first
 
 
 def starts(first: np.ndarray, size: int, step: int = 1) -> np.ndarray:
@@ -133,7 +130,17 @@ def dealt(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 # Step 1: batches
 
 
-def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, hash, text) with ids as longs in the identifiers' order, null as null; and for identifiers that aren't integers, what id stands for what."""
+    rows = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return rows.select(F.col("own").cast("long").alias("id"), "hash", "text"), None
+    ordered = rows.select("own").filter("own is not null").distinct().repartitionByRange("own").sortWithinPartitions("own")
+    names = written(ordered.select("own", F.monotonically_increasing_id().alias("id")), "identifiers")
+    return rows.join(names, "own", "left").select("id", "hash", "text"), names
+
+
+def batches_of(rows: DataFrame) -> DataFrame:
     """(batch, texts, docs): each text is its words joined by one space, each doc (id, hash, n_words, sha)."""
     schema = "batch long, texts binary, docs array<struct<id:long, hash:long, n_words:long, sha:string>>"
     kind = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())]))
@@ -159,7 +166,6 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if texts:
             yield full()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(run, schema), "batches")
 
 
@@ -169,7 +175,7 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def grid(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places and hashes of a batch's grid blocks."""
     at = starts(first, BLOCK, BLOCK)
-    h = rolling(flat, BLOCK, FIRST)
+    h = rolling(flat[0], BLOCK, FIRST)
     return at, h[at]
 
 
@@ -181,7 +187,7 @@ def probes(batches: DataFrame, depth: int) -> DataFrame:
         for batch in rows:
             for name, blob in zip(batch.column(0), batch.column(1), strict=True):
                 flat, first = laid_out(unpack_texts(blob.as_py()), hashes)
-                h = rolling(flat, BLOCK, FIRST)
+                h = rolling(flat[0], BLOCK, FIRST)
                 at = starts(first, BLOCK)
                 marked = np.zeros(len(h), bool)
                 marked[starts(first, BLOCK, BLOCK)] = True
@@ -270,7 +276,7 @@ def candidates(batches: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
 
 
 class Windows:
-    """The windows of a candidate batch that hold an anchor, in the order of (hash, id, start)."""
+    """The windows of a candidate batch that hold an anchor, in the order of (hash, id, start); a null id comes after all others."""
 
     def __init__(self, texts: list[bytes], docs: list[dict], hashes: WordHashes):
         flat, self.first = laid_out(texts, hashes)
@@ -282,11 +288,12 @@ class Windows:
         hit = np.concatenate([flags(d["anchors"], n) for d, n in zip(docs, blocks, strict=True)])
         near = hit[(np.cumsum(blocks) - blocks)[doc] + -(-start // BLOCK)]
         self.at, self.start = at[near], start[near]
-        self.id = np.array([d["id"] for d in docs], np.int64)[doc[near]]
-        self.h = rolling(flat, WINDOW, FIRST)[self.at]
-        self.g = (rolling(flat, WINDOW, SECOND)[self.at] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((self.start, self.id, self.g, self.h))
-        self.at, self.start, self.id, self.h, self.g = (x[order] for x in (self.at, self.start, self.id, self.h, self.g))
+        self.id = np.array([d["id"] or 0 for d in docs], np.int64)[doc[near]]
+        self.none = np.array([d["id"] is None for d in docs], np.uint8)[doc[near]]
+        self.h = rolling(flat[0], WINDOW, FIRST)[self.at]
+        self.g = rolling(flat[1], WINDOW, SECOND)[self.at]
+        order = np.lexsort((self.start, self.id, self.none, self.g, self.h))
+        self.at, self.start, self.id, self.none, self.h, self.g = (x[order] for x in (self.at, self.start, self.id, self.none, self.h, self.g))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (self.h[1:] != self.h[:-1]) | (self.g[1:] != self.g[:-1])
         self.head = np.flatnonzero(fresh)  # each distinct window's earliest place in the batch
@@ -294,36 +301,36 @@ class Windows:
 
 
 def window_rows(found: DataFrame, depth: int) -> DataFrame:
-    """(bucket, batch, n, data): a batch's distinct windows of a bucket, each with its earliest place there."""
+    """(bucket, batch, size, h, g, i, n, s): a batch's distinct windows of a bucket, each with its earliest place there."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
             for name, blob, docs in zip(*(batch.column(i) for i in range(3)), strict=True):
                 w = Windows(unpack_texts(blob.as_py()), docs.as_py(), hashes)
-                h, g, ids, s = w.h[w.head], w.g[w.head], w.id[w.head], w.start[w.head].astype(np.uint32)
+                h, g, ids, none, s = w.h[w.head], w.g[w.head], w.id[w.head], w.none[w.head], w.start[w.head].astype(np.uint32)
                 bucket, _ = dealt(h, depth)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
-                out = [(int(bucket[p[0]]), len(p), *map(planes, (h[p], g[p], ids[p], s[p]))) for p in np.split(np.arange(len(h)), cut) if len(p)]
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(cols[0], pa.int64()), "batch": pa.array([name.as_py()] * len(out), pa.int64()), "n": pa.array(cols[1], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip("hgis", cols[2:], strict=True)})
+                out = [(int(bucket[p[0]]), len(p), *map(planes, (h[p], g[p], ids[p], none[p], s[p]))) for p in np.split(np.arange(len(h)), cut) if len(p)]
+                cols = list(zip(*out, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(cols[0], pa.int64()), "batch": pa.array([name.as_py()] * len(out), pa.int64()), "size": pa.array(cols[1], pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip("hgins", cols[2:], strict=True)})
 
-    return found.select("batch", "texts", "docs").mapInArrow(run, "bucket long, batch long, n long, h binary, g binary, i binary, s binary")
+    return found.select("batch", "texts", "docs").mapInArrow(run, "bucket long, batch long, size long, h binary, g binary, i binary, n binary, s binary")
 
 
 def earliest(sent: DataFrame) -> DataFrame:
     """(batch, bucket, hits): a bit for each distinct window of the batch in the bucket: no earlier place has it."""
 
     def run(group: pa.Table) -> pa.Table:
-        sizes = group["n"].to_pylist()
-        h, g, ids, s = (np.concatenate([unplanes(b.as_py(), kind, n) for b, n in zip(group[k], sizes, strict=True)]) for k, kind in (("h", "<u8"), ("g", "<u4"), ("i", "<i8"), ("s", "<u4")))
-        order = np.lexsort((s, ids, g, h))
+        sizes = group["size"].to_pylist()
+        h, g, ids, none, s = (np.concatenate([unplanes(b.as_py(), kind, n) for b, n in zip(group[k], sizes, strict=True)]) for k, kind in (("h", "<u8"), ("g", "<u8"), ("i", "<i8"), ("n", "<u1"), ("s", "<u4")))
+        order = np.lexsort((s, ids, none, g, h))
         new = np.ones(len(order), bool)
         a, b = order[1:], order[:-1]
         new[1:] = (h[a] != h[b]) | (g[a] != g[b])
         head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         first = np.empty(len(order), bool)
-        first[order] = (ids[order] == ids[head]) & (s[order] == s[head])
+        first[order] = (ids[order] == ids[head]) & (none[order] == none[head]) & (s[order] == s[head])
         cut = np.cumsum(sizes)[:-1]
         return pa.table({"batch": group["batch"], "bucket": group["bucket"], "hits": pa.array([bits(x) for x in np.split(first, cut)], pa.binary())})
 
@@ -347,7 +354,7 @@ def cleaned(found: DataFrame, answers: DataFrame, depth: int, texts: bool) -> Da
                 bucket, _ = dealt(w.h[w.head], depth)
                 first = answered(w.h[w.head], bucket, got.as_py())
                 head = w.head[w.group]
-                stays = first[w.group] & (w.id == w.id[head]) & (w.start == w.start[head])
+                stays = first[w.group] & (w.id == w.id[head]) & (w.none == w.none[head]) & (w.start == w.start[head])
                 gone = w.at[~stays]
                 edge = np.zeros(w.first[-1] + 1, np.int32)
                 np.add.at(edge, gone, 1)
@@ -370,40 +377,54 @@ def cleaned(found: DataFrame, answers: DataFrame, depth: int, texts: bool) -> Da
     return joined.mapInArrow(run, schema).dropDuplicates(["id", "hash"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All documents (id, hash, n_words, sha), and ``cleaned``'s row for those that lose words.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """All documents (id, hash, n_words, sha), ``cleaned``'s row for those that lose words, and ``placed``'s names.
 
     A row is known by its identifier (null: after all others) and its text's hash. Rows that repeat both count as one place and lose the
-    same words; of two texts under one identifier the earlier start counts as earlier.
+    same words; of two texts under one identifier the earlier start counts as earlier. Identifiers may be of any type that Spark orders;
+    texts are dealt once more by those that aren't integers.
     """
-    batches = batches_of(docs, id_col, text_col)
+    rows, names = placed(docs, id_col, text_col)
+    batches = batches_of(rows)
     everyone = written(batches.select(F.explode("docs").alias("d")).select("d.*"), "words")
     total = everyone.agg(F.sum("n_words")).first()[0] or 0
     depth = (max(BUCKETS, -(-total // SHARE)) - 1).bit_length()
     marked = written(anchors(probes(batches, depth)), "anchors")
     found = candidates(batches, marked, depth)
-    discard(batches)
+    discard(batches, marked)
     first = written(earliest(window_rows(found, depth)), "earliest")
-    return everyone, cleaned(found, first, depth, texts)
+    gone = written(cleaned(found, first, depth, texts), "cleaned")
+    discard(found, first)
+    return everyone, gone, names
+
+
+def same_place(a: DataFrame, b: DataFrame) -> Column:
+    """A row's identifier and hash, nulls being equal: as plain keys, so that both sides can be dealt by them."""
+    return a["id"].eqNullSafe(b["id"]) & (a["hash"] == b["hash"])
 
 
 def substring_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_words, n_removed, kept_sha256, and the removed spans (first word, words).
 
-    A null text has no words, and one of fewer than ``WINDOW`` words loses none. Other columns play no part. No rows give no rows.
+    A null text has no words, and one of fewer than ``WINDOW`` words loses none. Nulls, repeats and ties of identifiers: see
+    ``repeats``. Other columns play no part, whatever their names. No rows give no rows.
     """
-    everyone, gone = repeats(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType
-    shown = F.when(F.col("id") != LAST, F.col("id")).cast(kind)
-    return everyone.join(gone, ["id", "hash"], "left").select(
-        shown.alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans"
+    everyone, gone, names = repeats(docs, id_col, text_col)
+    rows = everyone.join(gone, same_place(everyone, gone), "left").select(
+        everyone["id"], "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans"
     )
+    if names is None:
+        return rows.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256", "spans")
+    return rows.join(names, "id", "left").select(F.col("own").alias(id_col), "n_words", "n_removed", "kept_sha256", "spans")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the repeated words, all columns and rows: a text that loses words becomes its other words joined by one space; other texts stay as they are."""
-    _, gone = repeats(docs, id_col, text_col, texts=True)
-    gone = gone.select(F.col("id").alias("_loomql_id"), F.col("hash").alias("_loomql_hash"), F.col("kept").alias("_loomql_kept"))
-    mine = docs.withColumn("_loomql_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_loomql_hash", F.xxhash64(text_col))
-    joined = mine.join(gone, ["_loomql_id", "_loomql_hash"], "left")
-    return joined.select(*[F.coalesce("_loomql_kept", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    """``docs`` without the repeated words, all columns and rows: a text that loses words becomes its other words joined by one space; other texts stay as they are.
+
+    Nulls, repeats and ties: see ``repeats``. No rows give no rows.
+    """
+    _, gone, names = repeats(docs, id_col, text_col, texts=True)
+    gone = gone.select("id", "hash", "kept")
+    own = gone.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "hash", "kept") if names is None else gone.join(names, "id", "left").select(F.col("own").alias("id"), "hash", "kept")
+    joined = docs.join(own, docs[id_col].eqNullSafe(own["id"]) & (F.xxhash64(docs[text_col]) == own["hash"]), "left")
+    return joined.select(*[F.coalesce(own["kept"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -11,7 +12,7 @@ SCHEMA = "doc_id long, text string, hash string, id int, kept string"
 def plain(rows):
     """(doc_id, text) to (words, removed words, kept digest); windows at one place of one doc_id are no copies of each other."""
     least = {}
-    split = [(i if i is not None else sd.LAST, (t or "").encode().split()) for i, t in rows]
+    split = [((i is None, i or 0), (t or "").encode().split()) for i, t in rows]
     for i, w in split:
         for s in range(len(w) - 19):
             k = tuple(w[s : s + 20])
@@ -23,7 +24,7 @@ def plain(rows):
             if least[tuple(w[s : s + 20])] < (i, s):
                 gone[s : s + 20] = [True] * 20
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        out.append((None if i == sd.LAST else i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((None if i[0] else i[1], len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -68,5 +69,22 @@ def test_texts_after_removal(spark):
         assert r.text == before[r.doc_id] if not want[r.doc_id][2] else hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3]
 
 
+def test_identifiers_of_any_size_and_type(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [((1 << 63) - 1, words[0]), (-(1 << 63), words[1]), (None, words[0] + " " + words[1]), (0, words[1]), ((1 << 63) - 1, words[0])]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    for schema in (SCHEMA, SCHEMA.replace("doc_id long", "doc_id string"), SCHEMA.replace("doc_id long", "doc_id decimal(20,0)")):
+        names = {i: i for i, _ in rows}
+        if "doc_id string" in schema:
+            names = {(1 << 63) - 1: "c", -(1 << 63): "a", None: None, 0: "b"}
+        elif "decimal" in schema:
+            names = {i: i if i is None else Decimal(i) for i in names}
+        frame = spark.createDataFrame([(names[i], t, "x", 1, "y") for i, t in rows], schema)
+        got = [(g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in sd.substring_groups(frame).collect()]
+        back = {v: k for k, v in names.items()}
+        assert sorted(((back[g[0]], *g[1:]) for g in got), key=key) == sorted(plain(rows), key=key)
+        assert sum(len((r.text or "").split()) for r in sd.substring_dedup(frame).collect()) == sum(g[1] - g[2] for g in got)
+
+
 def test_no_rows(spark):
     assert sd.substring_groups(spark.createDataFrame([], SCHEMA)).collect() == []
