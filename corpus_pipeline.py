@@ -32,8 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 20-word passages that occur earlier; n_chars follows the texts that change."""
+    """Documents without the 20-word passages that occur earlier; n_chars, where there is one, follows the texts."""
     cut = substring_dedup(docs)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
