@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fitting_rows
+
 #: Bytes a filter sees, filters, bytes of a stride (a chunk is two).
 WIDTH, FILTERS, STRIDE = 4, 16, 256
 #: Strides convolved at a time, so that the arrays stay in the cache and a long text needs no more memory.
 BLOCK = 256
-#: The most labelled rows that a model is fitted on, and the passes over them.
-SAMPLE, EPOCHS = 4000, 10
+#: The most labelled rows that a model is fitted on, the most bytes of their texts, and the passes over them.
+SAMPLE, TEXTS, EPOCHS = 4000, 64 << 20, 10
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int
             grads = {"w": np.zeros(model["w"].shape), "b": dt.sum(axis=0), "u": x.T @ d, "c": np.array([d.sum()])}
             s, f = np.nonzero(dt)
             for j in range(WIDTH):
-                np.add.at(grads["w"][j], (flat[where[s, f] + j], f), dt[s, f])
+                cell = flat[where[s, f] + j].astype(np.int64) * FILTERS + f
+                grads["w"][j] += np.bincount(cell, dt[s, f], 256 * FILTERS).reshape(256, FILTERS)
             grads["w"][:, 0] = 0
             step += 1
             for k, g in grads.items():
@@ -135,19 +138,22 @@ def held_out(id_col):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Fit on at most ``sample`` labelled rows that aren't held out, those whose identifiers hash lowest.
+    """Fit on at most ``sample`` labelled rows that aren't held out, those whose identifiers hash lowest, of at most ``TEXTS`` bytes together.
 
-    Only the chosen labels, at most ``sample``, are broadcast. Rows with a null label or text are left out.
+    Only the chosen labels, at most ``sample``, are broadcast; of several labels of an identifier the least counts. Of rows that
+    share an identifier one is fitted on. Rows with a null label or text are left out.
     """
     chosen = (
-        labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-        .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_label")
+        labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(F.col(label_col).cast("int")).alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").filter("_text is not null").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"]))
-    return fit([r["_text"].encode() for r in rows], [r["_label"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    found = fitting_rows(rows, "id", "text", TEXTS)
+    found.sort(key=lambda r: r["id"])
+    return fit([r["text"].encode() for r in found], [r["label"] for r in found])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -176,7 +182,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` scored 0.5 or more, all columns."""
+    """The rows of ``docs`` scored 0.5 or more, all columns.
+
+    A null text is empty. Rows stand alone: repeated rows and null identifiers stay or go by their texts. No rows give no rows.
+    """
     model = train(docs, labels, sample, id_col, text_col)
     at = docs.columns.index(text_col)
 

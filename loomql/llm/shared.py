@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of a text are the runs outside these six characters.
@@ -57,24 +57,22 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lowest(rows: DataFrame, key: str, text: str, most: int, size: int) -> DataFrame:
-    """At most ``most`` rows of at most ``size`` bytes of text together, for the driver: a row for each key, those whose keys hash lowest.
+def fitting_rows(rows: DataFrame, key: str, text: str, size: int) -> list[Row]:
+    """A row for each key, for the driver: ``rows`` must hold a bounded number of keys, but may hold any number of rows of each.
 
-    Of rows that share a key the one whose text hashes lowest counts. Texts are chosen by identifiers, hashes and sizes alone, so they
-    are read once. A text over ``size // 16`` bytes isn't chosen at all, so that a few can't take all the room.
+    Of rows that share a key the one whose text hashes lowest counts. Texts together have at most ``size`` bytes: keys are taken by
+    their hash while there is room, and one whose text is over a sixteenth of that is passed over, so that a few can't take it all.
+    Keys and sizes are looked at first; only the chosen texts are collected, in the order of their keys' hashes.
     """
-    light = rows.select(key, F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes")).filter(F.col(key).isNotNull() & (F.col("bytes") <= size // 16))
-    one = light.groupBy(key).agg(F.min(F.struct("hash", "bytes")).alias("x")).select(key, "x.*").orderBy(F.xxhash64(key), key).limit(most)
+    light = rows.filter(F.col(text).isNotNull()).groupBy(key).agg(F.min(F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))).alias("x"))
     taken, room = [], size
-    for r in one.collect():  # at most ``most`` light rows
-        room -= r["bytes"]
-        if room < 0:
-            break
-        taken.append((r[key], r["hash"]))
-    spark = rows.sparkSession
-    chosen = spark.createDataFrame(taken, f"`{key}` {rows.schema[key].dataType.simpleString()}, hash long").withColumnsRenamed({key: "_key", "hash": "_hash"})
+    for r in light.select(key, "x.*", F.xxhash64(key).alias("order")).orderBy("order", key).collect():
+        if r["bytes"] <= min(room, size // 16):
+            taken.append((r[key], r["hash"]))
+            room -= r["bytes"]
+    chosen = rows.sparkSession.createDataFrame(taken, f"_key {rows.schema[key].dataType.simpleString()}, _hash long")
     same = (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
-    return rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates([key])
+    return rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates([key]).orderBy(F.xxhash64(key), key).collect()
 
 
 def taken_out(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
