@@ -18,18 +18,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fitting_rows, written
 
 #: The most labelled documents that the text model is fitted on, and its table's cells for byte trigrams.
 SAMPLE, CELLS = 3000, 1 << 14
+#: The most bytes of their texts.
+TEXTS = 64 << 20
 #: Trigrams count as independent up to about this many; a longer text says no more than that.
 EVIDENCE = 60.0
 #: Added to counts of declared languages and suffixes; rows that a level of the hierarchy weighs in the one below.
 ADDED, HOST_WEIGHT, DOMAIN_WEIGHT = 0.5, 4.0, 8.0
 #: Letters in lower case, other ASCII as spaces; bytes of longer characters stay.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})(?![a-z])""")
+#: Elements whose content isn't shown. One without an end hides the rest of the page, as browsers have it.
+UNSEEN = re.compile(r"(?i)<(script|style|template|noscript)(?=[\s/>])")
+#: Where a tag or a comment begins; any other "<" is text.
+OPENING = re.compile(r"<(?=[A-Za-z/!?])")
+DECLARED = re.compile(r"""(?i)(?<![\w-])lang\s*=\s*["']?\s*([a-z]{2,3})(?![a-z])""")
+#: Suffixes of two labels under which domains are registered: fixed values, the common ones.
+SECOND_LEVEL = frozenset(
+    "ac.at ac.jp ac.kr ac.nz ac.uk ac.za co.at co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.bd com.br com.cn com.co com.eg com.hk "
+    "com.mx com.my com.ng com.pe com.ph com.pk com.pl com.sa com.sg com.tr com.tw com.ua com.ve com.vn edu.au edu.br edu.cn edu.tw go.jp go.kr gob.ar gob.mx gov.au "
+    "gov.br gov.cn gov.in gov.uk govt.nz ltd.uk me.uk ne.jp net.au net.br net.cn net.nz net.uk or.at or.jp or.kr org.ar org.au org.br org.cn org.mx org.nz org.tr org.uk org.za".split()
+)
 HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -49,19 +60,59 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on at most ``sample`` documents with a language, those whose doc_id hashes lowest; only their identifiers are broadcast."""
-    chosen = docs.filter("lang is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id")).limit(sample).distinct()
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).filter("text is not null and lang is not null").select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    """Fit on at most ``sample`` documents with a language, those whose doc_id hashes lowest, of at most ``TEXTS`` bytes together.
+
+    Only their identifiers are broadcast. Of rows that share an identifier one is fitted on.
+    """
+    known = docs.filter("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
+    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    rows = fitting_rows(known.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", "text", TEXTS)
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def tags(page: str) -> Iterator[tuple[int, int]]:
+    """The (begin, end) of what isn't shown: tags, comments, and elements of ``UNSEEN`` with their content, in one pass over the page.
+
+    What has no end reaches to the page's end. Each search begins where the last ended, and an end that wasn't found is not
+    looked for again, so the work grows with the page's length whatever is in it.
+    """
+    low, size = None, len(page)
+    first = OPENING.search(page)
+    while first:
+        at = first.start()
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else size
+        elif found := UNSEEN.match(page, at):
+            low = low if low is not None else page.lower()
+            # Lower case may lengthen a few letters; then the end is looked for letter by letter in the page itself.
+            if len(low) == size:
+                close = low.find(f"</{found[1].lower()}", at)
+            else:
+                hit = re.compile(f"(?i)</{found[1]}").search(page, at)
+                close = hit.start() if hit else -1
+            end = page.find(">", close) if close >= 0 else -1
+            end = end + 1 if end >= 0 else size
+        else:
+            end = page.find(">", at + 1)
+            end = end + 1 if end >= 0 else size
+        yield at, end
+        first = OPENING.search(page, end)
+
+
 def page_parts(url: str | None, page: str | None) -> tuple[str, str, str]:
-    """Host (lower case, may be empty), declared language ("none" without), visible text."""
+    """Host (lower case, may be empty), language declared in the first html tag ("none" without), visible text."""
     found = HOST.match(url or "")
     host = found[1].lower().rstrip(".") if found else ""
-    lang = DECLARED.search(page or "")
-    return host, lang[1].lower() if lang else "none", html.unescape(HIDDEN.sub(" ", page or ""))
+    page, shown, last, lang = page or "", [], 0, None
+    for begin, end in tags(page):
+        shown.append(page[last:begin])
+        last = end
+        if lang is None and page[begin + 1 : begin + 5].lower() == "html" and not page[begin + 5 : begin + 6].isalnum():
+            declared = DECLARED.search(page, begin, end)
+            lang = declared[1].lower() if declared else "none"
+    shown.append(page[last:])
+    return host, lang or "none", html.unescape(" ".join(shown))
 
 
 def document_parts(source: str | None, text: str | None) -> tuple[str, str, str]:
@@ -91,8 +142,9 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str,
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html")).mapInArrow(run, f"id {kind}, host string, declared string, {', '.join(f'{c} double' for c in shown)}")
     labels = F.split("host", r"\.")
     last = F.element_at(labels, -1)
-    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    return rows.withColumns({"domain": domain, "suffix": F.when(last.rlike("^[a-z]{2,3}$"), last).otherwise("other")})
+    ending = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    domain = F.when(ending(2).isin(*sorted(SECOND_LEVEL)), ending(3)).otherwise(ending(2))
+    return rows.withColumns({"domain": domain, "suffix": F.when(F.size(labels) > 1, last).otherwise("")})
 
 
 def shares(logs: list[Column]) -> list[Column]:
@@ -122,9 +174,9 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     overall = [x / sum(total) for x in total]
 
     def likelihoods(key: str, prefix: str) -> DataFrame:
-        """log P(value | language); at most 26**2 + 26**3 + 1 values, as codes have two or three letters."""
-        found = rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in p])
-        return F.broadcast(found.select(key, *[F.log((F.col(p[i]) + ADDED) / total[i]).alias(f"{prefix}{i}") for i in n]))
+        """log P(value | language). Values are few, but nothing bounds them: Spark broadcasts them if they are small enough."""
+        found = written(rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in p]), key)
+        return found.select(key, *[F.log((F.col(p[i]) + ADDED) / total[i]).alias(f"{prefix}{i}") for i in n])
 
     host = rows.groupBy("host", "domain").agg(F.count("*").cast("double").alias("h"), *[F.sum(p[i]).alias(f"h{i}") for i in n])
     domain = host.groupBy("domain").agg(F.sum("h").alias("d"), *[F.sum(f"h{i}").alias(f"d{i}") for i in n])
@@ -142,7 +194,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
 
 
 def identify_all(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every document and every page, by one text model: doc_id or page_id (the other null) and ``identify``'s columns."""
+    """Every document and every page, by one text model: doc_id or page_id (the other null) and ``identify``'s columns.
+
+    Nulls, repeats, empty texts, ties and empty tables are as in ``identify``; the model is fitted on the documents' own labels.
+    """
     model = train(docs)
     of_docs = identify(docs, model, "doc_id", "source", "text", document_parts).withColumn("page_id", F.lit(None).cast(pages.schema["page_id"].dataType))
     of_pages = identify(pages, model).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))

@@ -1,10 +1,13 @@
+import math
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomql.llm import language, licences, quality
-from loomql.llm.shared import read_table
+from loomql.llm.shared import fitting_rows, read_table
 
 SF = "/root/testdata/sf0.01"
 
@@ -75,6 +78,76 @@ def test_language_of_documents(spark):
 def test_page_parts():
     assert language.page_parts("https://u:p@WWW.A.example.com:8080/x?y", '<HTML class=a LANG="de-AT"><script>if(a<b)</script><p>A&amp;B<!-- c --></p>') == ("www.a.example.com", "de", "   A&B  ")
     assert language.page_parts("no address", "") == ("", "none", "")
+    assert language.page_parts(None, "1 < 2 and <b>3</b> <script>x") == ("", "none", "1 < 2 and  3   ")
+    assert language.page_parts(None, '<html><p lang="fr"><html lang=de>')[1] == "none" and language.page_parts(None, "<html data-lang=fr xml:lang='pt-BR'>")[1] == "pt"
+    assert language.page_parts(None, "\u0130<style>a</STYLE >b<!-- c")[2] == "\u0130 b "
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<html ", "<", "</script", "<html lang=", "\u0130<template "])
+def test_broken_markup_in_linear_time(part):
+    page = part * (10_000_000 // len(part))
+    began = time.perf_counter()
+    language.page_parts("http://a.b/", page)
+    assert time.perf_counter() - began < 1
+
+
+def fused(rows, model):
+    """The posterior of each (id, host, declared, text) by hand."""
+    names, table = model
+    n = len(names)
+    soft = lambda z: (lambda e: [x / sum(e) for x in e])([math.exp(x - max(z)) for x in z])
+    w, p, keys = [], [], []
+    for _, host, declared, text in rows:
+        cells = language.trigrams(text)
+        z = [sum(table[i][c] for c in cells) for i in range(n)]
+        w.append([(x - max(z)) * min(1, language.EVIDENCE / max(1, len(cells))) for x in z])
+        p.append(soft(w[-1]))
+        labels = host.split(".")
+        own = 3 if ".".join(labels[-2:]) in language.SECOND_LEVEL else 2
+        keys.append((host, ".".join(labels[-own:]), labels[-1] if len(labels) > 1 else "", declared))
+    total = [sum(x[i] for x in p) + language.ADDED for i in range(n)]
+    over = [x / sum(total) for x in total]
+    out = []
+    for r in range(len(rows)):
+        z = []
+        for i in range(n):
+            same = lambda k: [p[j][i] for j in range(len(rows)) if keys[j][k] == keys[r][k]]  # noqa: B023, E731
+            of_domain = (sum(same(1)) - p[r][i] + language.DOMAIN_WEIGHT * over[i]) / (len(same(1)) - 1 + language.DOMAIN_WEIGHT)
+            of_host = (sum(same(0)) - p[r][i] + language.HOST_WEIGHT * of_domain) / (len(same(0)) - 1 + language.HOST_WEIGHT)
+            z.append(w[r][i] + sum(math.log((sum(same(k)) + language.ADDED) / total[i]) for k in (2, 3)) + math.log(max(of_host, 1e-9)))
+        q = soft(z)
+        out.append((rows[r][0], names[q.index(max(q))], max(q)))
+    return out
+
+
+def test_fusion_against_plain_version(spark):
+    model = language.fit(["the and of to in the and", "der die das und ist die der", "el la que de los la el"], ["en", "de", "es"])
+    rows = [(1, "a.example.co.uk", "en", "the and of"), (2, "a.example.co.uk", "en", "zzz"), (3, "b.example.co.uk", "none", ""), (4, "c.other.co.uk", "none", "der die das"), (5, "x.de", "de", "the"), (6, "y.de", "de", "die der und"), (7, "", "none", ""), (8, "x.museum", "none", "la que"), (8, "x.museum", "none", "la que"), (9, "x.xn--p1ai", "es", "qq")]
+    pages = spark.createDataFrame([(i, f"http://{h}/p" if h else None, (f"<html lang={d}>" if d != "none" else "") + t) for i, h, d, t in rows], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.lang, r.probability) for r in language.identify(pages, model).collect())
+    want = sorted(fused([(i, h, d, (" " if d != "none" else "") + t) for i, h, d, t in rows], model))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-9
+    alike = language.fit(["ab", "ab"], ["y", "x"])  # nothing tells the languages apart: the first in order
+    assert {r.lang for r in language.identify(pages, alike).collect()} == {"x"}
+
+
+def test_language_on_documents_left_out(spark):
+    docs = read_table(spark, SF, "documents")
+    left_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = language.identify(docs.filter(left_out), language.train(docs.filter(~left_out)), "doc_id", "source", "text", language.document_parts)
+    both = got.join(docs.withColumnRenamed("lang", "truth"), "doc_id").toPandas()
+    assert len(both) > 300 and (both.lang == both.truth).mean() > 0.98 and (both.text_lang == both.truth).mean() > 0.97
+
+
+def test_fitting_rows_are_bounded(spark):
+    rows = [(i % 5, f"text {i} of its own") for i in range(5000)] + [(7, "x" * 2000), (8, None), (9, "")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    got = fitting_rows(frame, "id", "text", 1600)
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4, 9]
+    assert len(fitting_rows(frame, "id", "text", 30 * 16)) == 6 and sum(len(r.text) for r in fitting_rows(frame, "id", "text", 40)) <= 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(3, 0)] * 50, "doc_id long, quality int")
+    docs = spark.createDataFrame([(i % 9, f"text {i}") for i in range(900)], "doc_id long, text string")
+    assert quality.quality_scores(docs, labels, sample=1).count() == 900
 
 
 def test_licences(spark):
