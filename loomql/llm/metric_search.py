@@ -10,8 +10,9 @@ pages and entries a query can still need. Queries go through a tree in blocks, b
 begins with the pages of its own smallest bounds, and the block takes the others in the order of the smallest
 bound that any of its queries has there, so that most of the k best are known early.
 
-Every block of queries meets every part, as an exact search of stated queries has to; the blocks are
-joined to parts by key and what comes back is k rows for each query and part.
+Every block of queries meets every part, as an exact search of stated queries has to. Each tree is dealt once, and
+light blocks of queries are sent to it; sorted behind it, they pass by while the tree is held, and
+what comes back is k rows for each query and part.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import tasks, written
 
-#: Rows of a part and queries of a block, about; entries of a page; pages that each query sees first.
-PART, QUERIES, PAGE, EARLY = 16_384, 1024, 64, 2
+#: Rows of a part, at least and at most, and queries of a block, about; entries of a page; pages that each query sees first.
+PART, LARGEST, QUERIES, PAGE, EARLY = 16_384, 65_536, 1024, 64, 2
 #: Distances carry rounding errors far below this share.
 SLACK = 1e-9
 #: Products up to this are exact in doubles.
@@ -169,33 +170,39 @@ def packed(rows: DataFrame, keys: list[str], tree: bool) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", part: int = PART, block: int = QUERIES) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", part: int | None = None, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest inner products with all rows but its own, ties to the smaller identifier.
 
     Vectors are ``quantised``. Rows without an identifier, and vectors that are null or empty or hold a component that is null, not
     finite or beyond a long, take no part. Vectors meet those of their own length. Rows that repeat an identifier are candidates each,
-    none for their own query, which is asked once, with the largest vector if they differ. No rows give no rows.
+    none for their own query, which is asked once, with the largest vector if they differ. No rows give no rows. Parts are as large
+    as gives each task two, within bounds, unless ``part`` says how large: queries are sent to every part, so fewer are better.
     """
     spark = rows.sparkSession
     clean = rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     clean = written(clean.filter("id is not null and v is not null and size(v) > 0").withColumn("dim", F.size("v")), "vectors")
     n, asked = clean.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
+    part = part or min(LARGEST, max(PART, n // (2 * tasks(spark))))
     parts, blocks = max(1, -(-n // part)), max(1, -(-(asked or 0) // block))
-    spread = min(parts, tasks(spark))
     trees = packed(clean.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).select("dim", "part", "id", "v"), ["dim", "part"], True)
     queries = clean.filter("asks").groupBy("dim", "id").agg(F.max("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
     queries = packed(queries.select("dim", "block", "id", "v"), ["dim", "block"], False)
-    trees = trees.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), (F.col("part") % spread).alias("turn"), F.col("data").alias("tree"))
-    queries = queries.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("turn"), F.col("data").alias("queries"))
+    asked_of = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    sent = trees.select("dim", "part", F.lit(False).alias("asks"), "data").unionByName(queries.select("dim", asked_of, F.lit(True).alias("asks"), "data"))
+    sent = sent.repartition("dim", "part").sortWithinPartitions("dim", "part", "asks")  # a tree comes before its queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tree = None, {}
         for batch in batches:
-            for tree, asks in zip(batch.column(0), batch.column(1), strict=True):
-                q = from_bytes(asks.as_py())
-                best, who, _ = search(from_bytes(tree.as_py()), q["ids"], q["x"], k)
-                row, col = np.nonzero(who < np.iinfo(np.int64).max)
-                yield pa.RecordBatch.from_pydict({"query_id": q["ids"][row], "vec_id": who[row, col], "score": best[row, col]})
-
-    found = trees.join(queries, ["dim", "block", "turn"]).select("tree", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+            for dim, number, asks, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                if not asks:
+                    held, tree = (dim, number), from_bytes(data.as_py())
+                elif held == (dim, number):  # else no vector of that length is in the part
+                    q = from_bytes(data.as_py())
+                    best, who, _ = search(tree, q["ids"], q["x"], k)
+                    row, col = np.nonzero(who < np.iinfo(np.int64).max)
+                    yield pa.RecordBatch.from_pydict({"query_id": q["ids"][row], "vec_id": who[row, col], "score": best[row, col]})
+
+    found = sent.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
