@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, taken_out, tasks, written
+from .shared import SPACES, settled, taken_out, tasks, written
 
 #: Runs that exchange entries in a round; and the parts that a run's digests are dealt in, so that few runs still fill many tasks.
 FAN_IN, PARTS = 4, 64
@@ -95,4 +95,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each group of equal texts, as ``exact_groups`` has it."""
-    return taken_out(docs, written(placed(docs, id_col, text_col).select("id", "hash", "kept"), "kept"), id_col, text_col)
+    rows = settled(lambda: placed(docs, id_col, text_col).select("id", "hash", "kept"), "kept")
+    return taken_out(docs, rows, id_col, text_col)

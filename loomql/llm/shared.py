@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    return at_path(df, path)
+
+
+def at_path(df: DataFrame, path: str) -> DataFrame:
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
+    if _steps:
+        _steps[-1].append(table)
     return table
 
 
+#: The tables that were written within each ``settled`` that is being made, the innermost last.
+_steps: list[list[DataFrame]] = []
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, written; the steps that were written for it are deleted then, as nothing needs them any more."""
+    _steps.append([])
+    try:
+        df = make()
+        path = new_path(df.sparkSession, label)
+        df.write.parquet(path)
+    finally:
+        steps = _steps.pop()
+    discard(*steps)
+    return at_path(df, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made, once no result depends on them."""
     for table in tables:

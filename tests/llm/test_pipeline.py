@@ -57,6 +57,32 @@ def test_run(stages, spark):
     assert cp.run(spark, SF).count() == stages[4][1].count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing columns and none for the size, through all stages; and an empty table."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
+    prose = real.filter("length(text) > 300").orderBy("doc_id").first().text
+    rows = [(None, None), (None, ""), (None, prose + " and more"), (900, prose + " and more"), (900, prose + " and more"), (901, long), (901, long), (902, " \n"), ((1 << 63) - 1, long + " end")]
+    schema = "doc_id long, text string"
+    docs = real.unionByName(spark.createDataFrame(rows, schema)).selectExpr("doc_id", "text", "'a' AS id", "2 AS hash", "true AS kept", "'n' AS node", "1.5D AS root")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (str(r.doc_id), r.text or "")
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == docs.columns and all((r.id, r.hash, r.kept, r.node, r.root) == ("a", 2, True, "n", 1.5) for r in out.collect())
+        assert stage(spark, frame.limit(0), str(tmp_path)).collect() == []
+    exact = sorted(map(key, cp.drop_exact_copies(spark, frame, "").collect()))
+    assert len(exact) == len({t for _, t in exact}) and ("900", prose + " and more") in exact and ("901", long) in exact and ("902", " \n") in exact
+    near = {key(r) for r in cp.drop_near_copies(spark, frame, "").collect()}
+    assert (str((1 << 63) - 1), long + " end") not in near and ("901", long) in near and len([k for k in near if k[0] == "901"]) == 1
+    cut = [key(r) for r in cp.cut_repeats(spark, frame, "").collect()]
+    assert len(cut) == frame.count() and sum(len(t.split()) for k, t in cut if k == str((1 << 63) - 1)) < 20
+    assert cp.pack_sequences(spark, frame.limit(0), "").collect() == [] and cp.pack_sequences(spark, frame, "").select("doc_id").filter("doc_id = 901").count() >= 2
+    assert cp.run(spark, str(tmp_path)).count() > 0
+
+
 def test_near_copies_go(spark):
     words = [f"w{i}" for i in range(3000)]
     whole = fingerprint(" ".join(words))
