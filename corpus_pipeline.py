@@ -1,6 +1,10 @@
 """The corpus pipeline: filter by quality, remove exact and near copies and repeated passages, pack.
 
-Each stage is written as Parquet in the shared folder and read again as the next one's documents.
+Each stage is written as Parquet in the shared folder and read again as the next one's documents; what it no longer needs is deleted.
+
+Null and empty texts are documents like any other: the classifier judges them as empty, all of them are exact copies of each other, and one
+of them is packed as an end token, if it stays. A null identifier comes after all others, so such a row stays unless a copy has an identifier.
+Rows that repeat an identifier and a text are copies. Extra columns stay whatever their names are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from loomql.llm.exact_dedup import exact_dedup
 from loomql.llm.near_copies import drop_near
 from loomql.llm.packing import packed_documents
 from loomql.llm.quality import keep_quality
-from loomql.llm.shared import read_table, written
+from loomql.llm.shared import discard, read_table, settled
 from loomql.llm.substring_dedup import substring_dedup
 
 
@@ -57,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over the whole of documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, last = settled(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-")), before  # noqa: B023
+        before = docs
+        if last is not None:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
