@@ -20,6 +20,7 @@ are short, and a false hit only costs work in step 3.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import count
 
@@ -35,8 +36,10 @@ from pyspark.sql import types as T
 from .shared import discard, written
 
 WINDOW, BLOCK = 20, 10
-#: Bytes of words in a batch; words whose hashes share a bucket, about; and the fewest buckets.
+#: Bytes of words in a batch; words whose hashes share a bucket, about; and the fewest buckets. A message goes from every batch to every
+#: bucket, so over ``STEADY`` bytes of texts the first two grow with the root of the input, and messages shrink no further, up to ``GROWN`` times.
 BATCH, SHARE, BUCKETS = 6 << 20, 4_000_000, 64
+STEADY, GROWN = 30e9, 8
 #: Distinct words whose hashes a Python worker remembers.
 VOCABULARY = 1 << 18
 #: Odd factors of the rolling hashes and their finishing.
@@ -140,7 +143,13 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return rows.join(names, "own", "left").select("id", "hash", "text"), names
 
 
-def batches_of(rows: DataFrame) -> DataFrame:
+def grown(rows: DataFrame) -> float:
+    """How many times larger than usual batches and buckets are, by the bytes of all texts."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(GROWN, max(1.0, (total / STEADY) ** 0.5))
+
+
+def batches_of(rows: DataFrame, full_at: float) -> DataFrame:
     """(batch, texts, docs): each text is its words joined by one space, each doc (id, hash, n_words, sha)."""
     schema = "batch long, texts binary, docs array<struct<id:long, hash:long, n_words:long, sha:string>>"
     kind = pa.list_(pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())]))
@@ -160,7 +169,7 @@ def batches_of(rows: DataFrame) -> DataFrame:
                 texts.append(text)
                 meta.append((ids[i], marks[i], len(words), hashlib.sha256(text).hexdigest()))
                 size += len(text) + 1
-                if size >= BATCH:
+                if size >= full_at:
                     yield full()
                     texts, meta, size = [], [], 0
         if texts:
@@ -385,10 +394,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     texts are dealt once more by those that aren't integers.
     """
     rows, names = placed(docs, id_col, text_col)
-    batches = batches_of(rows)
+    times = grown(rows)
+    batches = batches_of(rows, BATCH * times)
     everyone = written(batches.select(F.explode("docs").alias("d")).select("d.*"), "words")
     total = everyone.agg(F.sum("n_words")).first()[0] or 0
-    depth = (max(BUCKETS, -(-total // SHARE)) - 1).bit_length()
+    depth = (max(BUCKETS, math.ceil(total / (SHARE * times))) - 1).bit_length()
     marked = written(anchors(probes(batches, depth)), "anchors")
     found = candidates(batches, marked, depth)
     discard(batches, marked)
