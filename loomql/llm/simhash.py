@@ -24,13 +24,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import taken_out, tasks, written
+from .shared import settled, taken_out, tasks, written
 
 WORDS, SEED, DISTANCE = 3, 42, 2
 #: Shingles hashed and counted at a time in a long text.
 BLOCK = 1 << 16
 #: The most fingerprints of a variant that are joined with each other.
 BUCKET = 256
+#: The most words of a bitmap of keys.
+BITMAP = 1 << 18
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of 64-bit words. Bytes add up without overflow for 255 rows at a time, many of them at once."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    return bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -46,7 +55,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         h = np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(h[:, None])
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -81,6 +90,19 @@ def variants(rows: DataFrame, width: int) -> DataFrame:
     return spread.select(F.xxhash64("key", j, cut).alias("key"), F.when(first, parts[1]).otherwise(parts[0]).alias("rest"), "fp")
 
 
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key, a hash, is among ``keys``, each once there.
+
+    A bitmap of the keys sifts the rows before they are dealt by key. It has at most ``BITMAP`` words of 64 bits, which bounds its
+    broadcast; with more keys than that sifts it only lets more rows through to the join that decides.
+    """
+    words = 1 << max(10, min(BITMAP.bit_length() - 1, (keys.count() // 4).bit_length()))
+    word, bit = F.col("key").bitwiseAND(F.lit(words - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 50) & 63 AS int))")
+    bitmap = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    may = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    return may.join(keys, "key", "left_semi")
+
+
 def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -100,13 +122,13 @@ def links(fps: DataFrame) -> DataFrame:
         found.append(shared.filter("n = 2").filter(near).select("a", "b"))
         crowd = shared.filter("n > 2").filter(cold).select("key")
         if not crowd.isEmpty():
-            members = written(indexed.join(crowd, "key", "left_semi").select("key", "fp"), "members")
+            members = written(among(indexed, crowd).select("key", "fp"), "members")
             left, right = members.select("key", F.col("fp").alias("a")), members.select("key", F.col("fp").alias("b"))
             found.append(left.join(right, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b"))
         hot = shared.filter(~cold).select("key")
         if hot.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
-        rows = written(indexed.join(hot, "key", "left_semi"), "hot-variants")
+        rows = written(among(indexed, hot), "hot-variants")
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +149,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     identifier gets its component's smallest one, null only if there is none. Columns other than
     the two play no part, whatever their names. No rows give no rows.
     """
-    return placed(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = settled(lambda: placed(docs, id_col, text_col).select("id", "fp", "component_id"), "groups")
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: Callable[[DataFrame, str, str], DataFrame] = placed) -> DataFrame:
@@ -136,7 +159,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with that identifier one stays, that whose text hashes lowest. ``place`` gives (id, hash, root) of each row, root being
     its component: by fingerprints, unless another is given. No rows give no rows; clashing column names do no harm.
     """
-    rows = written(place(docs, id_col, text_col).select("id", "hash", "root"), "placed")
+    rows = settled(lambda: place(docs, id_col, text_col).select("id", "hash", "root"), "placed")
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")).select("root", F.col("least.id").alias("keep"), F.col("least.hash").alias("text"))
     fates = rows.join(least, "root").select("id", "hash", (F.col("id").eqNullSafe(F.col("keep")) & (F.col("hash") == F.col("text"))).alias("kept"))
     return taken_out(docs, fates, id_col, text_col)
