@@ -26,6 +26,8 @@ from .shared import new_path, written
 REVISIT = 1000
 #: Bytes of an archive made from pages; of a WARC file, which one record may take over it.
 ARCHIVE, FILE = 4 << 20, 32 << 20
+#: Of gzip: the records are compressed by Python, where higher levels cost more than all else.
+LEVEL = 1
 CAPTURED = "20240101000000"
 #: Fields of a header line in each version: fixed by the format.
 FIELDS = {
@@ -186,7 +188,7 @@ def revisits(records: DataFrame, least: int = REVISIT) -> DataFrame:
 
 def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """A record as a gzip member."""
-    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    made = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     top = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("Content-Length", len(block))])
     return b"".join([made.compress(b"WARC/1.1\r\n" + top.encode() + b"\r\n"), made.compress(block), made.compress(b"\r\n\r\n"), made.flush()])
 
@@ -227,18 +229,17 @@ def write_warc(records: DataFrame, path: str, least: int = REVISIT, size: int =
     return records.filter(F.col("error").isNotNull()).select("archive", "error")
 
 
-def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The parts of a gzip file of one or more members."""
-    left = data
-    while left:
+def inflated(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The parts of a gzip file of one or more members. What a member leaves of a step is copied, so steps are short."""
+    at = 0
+    while at < len(data):
         member = zlib.decompressobj(31)
-        for at in range(0, len(left), step):
-            yield member.decompress(left[at : at + step])
-            if member.eof:
-                left = member.unused_data + left[at + step :]
-                break
-        else:
-            raise ValueError("a gzip member ends early")
+        while not member.eof:
+            part = data[at : at + step]
+            if not part:
+                raise ValueError("a gzip member ends early")
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
