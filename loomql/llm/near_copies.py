@@ -1,19 +1,22 @@
 """Near copies by SimHash over shingles of five words: texts linked at a Jaccard similarity of 0.8 or more.
 
-Two bits of 64 are far too near for such copies, so fingerprints have ``SEGMENTS`` segments of ``WIDTH`` bits. A pair is a candidate
-if one of them differs by at most one bit: segments are indexed under variants with one bit left out, and an
+Two bits of 64 are far too near for such copies, so fingerprints have more bits, cut into segments (``Shape``). A pair is a candidate
+if one segment differs by at most one bit: segments are indexed under variants with one bit left out, and an
 equality join on the variants gives candidates. A bit that differs is nearly always one that is nearly undecided in
-both texts, so only the ``WEAK`` least decided bits of a segment are left out in turn: 96 variants a text in all. At a similarity
-of 0.8 a segment is shared with probability 0.17, and one of 24 with 0.989; at 0.85 with 0.999 (computed for texts of many shingles). Sizes and whole fingerprints sift the candidates, and the shingles of both texts decide each.
+both texts, so only a quarter of a segment's bits, the least decided ones, are left out in turn. Segments are as wide as it takes
+that texts which only clash rarely meet, and as many as it takes that a pair at 0.8 is missed in one case of ninety; at 0.85 in
+one of a thousand. For up to half a million texts these are 24 segments of 16 bits, 96 variants a text. Sizes and whole
+fingerprints sift the candidates, and the shingles of both texts decide each.
 
 Only distinct sets of shingles (nodes) are compared. A variant of more than ``BUCKET`` nodes is not joined with itself.
-First all are compared with its most central node; those outside the variant's largest component are then compared
-with growing samples of it, and with all of it in the end. So a crowd of copies costs one
-comparison each, and no candidate pair of different components is passed over.
+First each node of such crowds is compared with the most central one that it meets there; those outside a variant's largest
+component are then compared with growing samples of the variant, and with all of it in the end. So a crowd of copies costs one
+comparison each, and no candidate pair of different components is passed over. The variants that few share come last.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +27,39 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import discard, tasks, written
-from .simhash import SEED, differing, near_dedup
+from .simhash import SEED, bit_counts, differing, near_dedup
 
 WORDS, ALIKE = 5, 0.8
-SEGMENTS, WIDTH, WEAK = 24, 16, 4
-#: 64-bit words of a fingerprint, and the bits of the first and of all in which a pair at ``ALIKE`` may differ: 3.6 deviations over the mean.
-LONGS, MOST_OF_FIRST, MOST = 6, 20, 84
+#: By a segment's width, the probability that it is alike in a pair at ``ALIKE`` but for one of the bits that are left out in turn:
+#: simulated for sums of very many shingles, whose correlation is 2 * 0.8 / 1.8.
+SHARED = {16: 0.171, 20: 0.104, 24: 0.061, 28: 0.036, 32: 0.0204}
+#: The share of pairs at ``ALIKE`` that may be missed, and the probability that one of their bits differs.
+MISSED, APART = 0.011, math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 #: Shingles whose bits are counted at a time; pairs of one node that go to a task together.
 BLOCK, SHARE = 1 << 14, 64
 #: The most nodes of a variant that are joined with each other; of a larger one, those compared in the first round after the central one, and the growth from round to round.
-BUCKET, SAMPLE, GROWTH = 32, 32, 8
-_rng = np.random.default_rng(SEED)
-FLIPS = _rng.integers(0, 1 << 64, LONGS, np.uint64)
-FACTORS = _rng.integers(0, 1 << 64, LONGS, np.uint64) | np.uint64(1)
+BUCKET, SAMPLE, GROWTH = 32, 64, 64
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+class Shape:
+    """A fingerprint's segments for ``n`` texts."""
+
+    def __init__(self, n: int):
+        self.width = next((w for w in SHARED if w << (w - 1) >= n), max(SHARED))  # about four texts a variant by chance
+        self.weak = self.width // 4
+        self.segments = math.ceil(math.log(MISSED) / math.log(1 - SHARED[self.width]))
+        self.longs = -(-self.segments * self.width // 64)
+        rng = np.random.default_rng(SEED)
+        self.flips, factors = (rng.integers(0, 1 << 64, self.longs, np.uint64) for _ in range(2))
+        self.factors = factors | np.uint64(1)
+
+
+def most(bits: int) -> int:
+    """So many of a number of bits differ at most in a pair at ``ALIKE``: 3.6 deviations over the mean."""
+    return math.ceil(bits * APART + 3.6 * (bits * APART * (1 - APART)) ** 0.5)
+
+
 def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
     """The runs of ``words`` words, ASCII letters in lower case; all words of a shorter text; none without words."""
     found = text.lower().split()
@@ -51,42 +71,43 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def sketch(text: bytes) -> tuple[int, int, list[int], list[int]]:
+def sketch(text: bytes, shape: Shape) -> tuple[int, int, list[int], list[int]]:
     """A digest of the set of shingles, its size, the words of its fingerprint, and its variants; 0, 0 and none without words."""
     h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)), np.uint64))
     if not len(h):
-        return 0, 0, [0] * LONGS, []
-    ones = np.zeros(64 * LONGS, np.int64)
+        return 0, 0, [0] * shape.longs, []
+    ones = np.zeros(64 * shape.longs, np.int64)
     for at in range(0, len(h), BLOCK):
-        z = (h[at : at + BLOCK, None] ^ FLIPS) * FACTORS
+        z = (h[at : at + BLOCK, None] ^ shape.flips) * shape.factors
         z ^= z >> np.uint64(32)
         z *= MIX
         z ^= z >> np.uint64(29)
-        ones += np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        ones += bit_counts(z)
     over = 2 * ones - len(h)
     bits = over > 0
-    weak = np.argsort(np.abs(over).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :WEAK]
-    segments = np.packbits(bits, bitorder="little").view(np.uint16).astype(np.int64)[:, None]
-    keys = (np.arange(SEGMENTS)[:, None] * WIDTH + weak << WIDTH) | segments & ~(1 << weak)
+    rows, width = shape.segments, shape.width
+    weak = np.argsort(np.abs(over[: rows * width]).reshape(rows, width), axis=1, kind="stable")[:, : shape.weak]
+    segments = (bits[: rows * width].reshape(rows, width) @ (1 << np.arange(width)))[:, None]
+    keys = (np.arange(rows)[:, None] * width + weak << width) | segments & ~(1 << weak)
     return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), np.packbits(bits, bitorder="little").view(np.int64).tolist(), keys.ravel().tolist()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
     """(id, hash, node, size, bits, keys) for each row: a hash of its text, and the sketch. Null texts count as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
+            found = [sketch(t.as_py() or b"", shape) for t in batch.column(2).cast(pa.binary())]
             nodes = np.array([f[0] for f in found], np.uint64).view(np.int64)
-            cols = {"node": pa.array(nodes), "size": pa.array([f[1] for f in found], pa.int64()), "bits": pa.array([f[2] for f in found], pa.list_(pa.int64())), "keys": pa.array([f[3] for f in found], pa.list_(pa.int32()))}
+            cols = {"node": pa.array(nodes), "size": pa.array([f[1] for f in found], pa.int64()), "bits": pa.array([f[2] for f in found], pa.list_(pa.int64())), "keys": pa.array([f[3] for f in found], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "hash": batch.column(1)} | cols)
 
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, hash long, node long, size long, bits array<long>, keys array<int>")
+    return rows.mapInArrow(run, f"id {kind}, hash long, node long, size long, bits array<long>, keys array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (a, b) whose texts' shingles are alike. Whole fingerprints sift them first; a node with many pairs is dealt to several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +121,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     whole = lambda name: nodes.select(F.col("node").alias(name), F.col("bits").alias(f"{name}_bits"))
-    apart = sum((differing(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(1, LONGS)), differing(F.col("a_bits")[0], F.col("b_bits")[0]))
-    pairs = written(pairs.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= MOST).select("a", "b"), "sifted-pairs")
+    apart = sum((differing(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(1, shape.longs)), differing(F.col("a_bits")[0], F.col("b_bits")[0]))
+    pairs = written(pairs.join(whole("a"), "a").join(whole("b"), "b").filter(apart <= most(64 * shape.longs)).select("a", "b"), "sifted-pairs")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = written(texts.join(nodes.join(used, "node", "left_semi").select("node", "hash"), "hash").dropDuplicates(["node"]).select("node", "text"), "compared-texts")
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("k"))
@@ -116,53 +137,76 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def near(left: str, right: str) -> Column:
     """Whether two nodes can be alike by their sizes and the first words of their fingerprints."""
     a, b = F.col(f"{left}size"), F.col(f"{right}size")
-    return (F.least(a, b) >= F.greatest(a, b) * F.lit(ALIKE) - 1e-6) & (differing(F.col(f"{left}word"), F.col(f"{right}word")) <= MOST_OF_FIRST)
+    return (F.least(a, b) >= F.greatest(a, b) * F.lit(ALIKE) - 1e-6) & (differing(F.col(f"{left}word"), F.col(f"{right}word")) <= most(64))
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link. ``nodes`` has node, hash, size, bits and keys; ``texts`` hash and text."""
-    dealt = nodes.select("node", "size", F.col("bits")[0].alias("word"), "keys").repartition(tasks(nodes.sparkSession))
-    rows = dealt.select(F.explode("keys").alias("key"), "node", "size", "word")
-    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot-variants")
-    crowded = not hot.isEmpty()
-    cold = rows.join(hot, "key", "left_anti") if crowded else rows
-    other = cold.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "size", "word")])
+def paired(rows: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
+    """The pairs (a, b), a the smaller, of nodes that share a key and can be alike, if the condition holds too. ``other`` is prefixed."""
     ordered = [F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")]
-    done = written(cold.join(other, "key").filter((F.col("node") < F.col("p_node")) & near("", "p_")).select(*ordered).distinct(), "pairs")
-    edges = verified(done, nodes, texts)
-    roots = written(components(edges), "roots")
-    if not crowded:
-        return roots
-    members = written(rows.join(hot, "key"), "crowds")
-    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    return rows.join(other, "key").filter(condition & near("", "p_")).select(*ordered)
+
+
+def prefixed(rows: DataFrame) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"p_{c}") for c in rows.columns if c != "key"])
+
+
+def stars(roots: DataFrame) -> DataFrame:
+    """What was found before, as edges."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def crowd_roots(members: DataFrame, nodes: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """(node, root) of the components within crowded variants; ``members`` has key, node, size, word and n, the key's count."""
     by = F.struct("weight", "node")
-    pivots = members.join(central, "node").groupBy("key").agg(*[F.max_by(c, by).alias(f"p_{c}") for c in ("node", "size", "word")])
-    pairs = members.join(pivots, "key").filter((F.col("node") != F.col("p_node")) & near("", "p_")).select(*ordered).distinct()
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivots = members.join(central, "node").groupBy("key").agg(*[F.max_by(c, by).alias(f"p_{c}") for c in ("node", "size", "word", "weight")])
+    # Of the central nodes that a node meets it is compared with the heaviest; the others' turn comes if they are in other components then.
+    met = members.join(pivots, "key").filter((F.col("node") != F.col("p_node")) & near("", "p_"))
+    heaviest = met.groupBy("node").agg(F.max_by("p_node", F.struct("p_weight", "p_node")).alias("p_node"))
+    pairs = heaviest.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+    done = roots = None
     limit = SAMPLE
     while True:
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        edges = written(edges.unionByName(verified(pairs, nodes, texts)), "links")
-        done = written(done.unionByName(pairs), "pairs")
-        roots = written(components(edges), "roots")
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = verified(pairs, nodes, texts, shape)
+        done = pairs if done is None else written(done.unionByName(pairs), "pairs")
+        roots = written(components(more if roots is None else stars(roots).unionByName(more)), "roots")
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = rooted.join(roots.groupBy("root").agg(F.count("*").alias("others")), "root", "left").withColumn("others", F.coalesce("others", F.lit(1)))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct("others", "root")).alias("top")).filter("r <> s")
         live = written(rooted.join(mixed.select("key", F.col("top.root").alias("main")), "key"), "mixed-crowds")
-        most = live.agg(F.max("n")).first()[0]
-        if most is None or limit >= GROWTH * most:  # the round before took all
+        largest = live.agg(F.max("n")).first()[0]
+        if largest is None or limit >= GROWTH * largest:  # the round before took all
             return roots
-        some = live.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit).cast("long")) == 0)
-        some = some.select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "size", "word", "root")])
-        pairs = live.filter("root <> main").join(some, "key").filter((F.col("root") != F.col("p_root")) & near("", "p_")).select(*ordered).distinct()
+        some = live.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit).cast("long")) == 0).select("key", "node", "size", "word", "root")
+        pairs = paired(live.filter("root <> main"), prefixed(some), F.col("root") != F.col("p_root")).distinct()
         limit *= GROWTH
 
 
+def links(nodes: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """(node, root) of every node with a link. ``nodes`` has node, hash, size, bits and keys; ``texts`` hash and text."""
+    dealt = nodes.select("node", "size", F.col("bits")[0].alias("word"), "keys").repartition(tasks(nodes.sparkSession))
+    rows = dealt.select(F.explode("keys").alias("key"), "node", "size", "word")
+    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET), "hot-variants")
+    smaller = F.col("node") < F.col("p_node")
+    if hot.isEmpty():
+        pairs = paired(rows, prefixed(rows), smaller)
+        return written(components(verified(written(pairs.distinct(), "pairs"), nodes, texts, shape)), "roots")
+    roots = crowd_roots(written(rows.join(hot, "key"), "crowds"), nodes, texts, shape)
+    # Crowds first: what they have linked need not be compared again under the variants that few share.
+    known = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cold = known.select(F.explode("keys").alias("key"), "node", "size", "word", "root").join(hot, "key", "left_anti")
+    pairs = written(paired(cold, prefixed(cold), smaller & (F.col("root") != F.col("p_root"))).distinct(), "pairs")
+    return written(components(stars(roots).unionByName(verified(pairs, nodes, texts, shape))), "roots")
+
+
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, root) for each row."""
-    rows = written(sketches(docs, id_col, text_col), "sketches")
+    shape = Shape(docs.count())
+    rows = written(sketches(docs, id_col, text_col, shape), "sketches")
     nodes = rows.groupBy("node").agg(F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")])
     nodes = written(nodes, "nodes")
-    roots = links(nodes, docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")))
+    roots = links(nodes, docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")), shape)
     rooted = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("id", "hash", "node").join(rooted, "node").select("id", "hash", "root")
 

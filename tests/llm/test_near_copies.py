@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 
 from loomql.llm import near_copies
 
@@ -25,8 +27,10 @@ def plain(texts):
     return {find(k) for k in sets}
 
 
-def test_copies_at_080_to_095(spark, monkeypatch):
+@pytest.mark.parametrize("width", [16, 24])
+def test_copies_at_080_to_095(spark, monkeypatch, width):
     monkeypatch.setattr(near_copies, "SAMPLE", 2)
+    monkeypatch.setattr(near_copies, "SHARED", {width: near_copies.SHARED[width]})
     rng, texts = random.Random(7), {}
     for base in range(30):
         words = [f"w{rng.randrange(9000)}" for _ in range(400)]
@@ -38,4 +42,27 @@ def test_copies_at_080_to_095(spark, monkeypatch):
     texts |= {2000: "", 2001: " ", 2002: "two words", 2003: "TWO words", 2004: "two other"}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()}
-    assert kept == plain(texts) and len(kept) < len(texts) / 2
+    want = plain(texts)
+    assert len(want) < len(texts) / 2
+    # One of ninety links at 0.8 may be missed; with the narrow segments none is here.
+    assert kept == want if width == 16 else kept >= want and len(kept - want) <= 2
+
+
+@pytest.mark.parametrize("n, width", [(200_000, 16), (5_000_000, 20), (100_000_000, 24), (50_000_000_000, 32)])
+def test_recall_at_080(n, width):
+    """Pairs at 0.8 to 0.81 share a variant, and are let through by their whole fingerprints, in more than 96 of 100 cases at every size."""
+    shape, rng, found, total = near_copies.Shape(n), random.Random(n), 0, 150
+    assert shape.width == width
+    for _ in range(total):
+        words = [f"w{rng.randrange(9000)}" for _ in range(800)]
+        copy = words[:]
+        for at in rng.sample(range(10, 790, 10), 17):
+            copy[at] = f"n{rng.randrange(9000)}"
+        a, b = " ".join(words).encode(), " ".join(copy).encode()
+        assert 0.8 <= near_copies.similarity(near_copies.shingles(a), near_copies.shingles(b)) < 0.81
+        (_, _, x, k), (_, _, y, m) = near_copies.sketch(a, shape), near_copies.sketch(b, shape)
+        apart = [(p ^ q) & (1 << 64) - 1 for p, q in zip(x, y)]
+        found += bool({*k} & {*m}) and apart[0].bit_count() <= near_copies.most(64) and sum(p.bit_count() for p in apart) <= near_copies.most(64 * shape.longs)
+        assert len(k) == shape.segments * shape.weak and max(k) < 1 << 62
+    assert found > 0.96 * total
+    assert np.isclose(near_copies.APART, 0.1515, atol=1e-3)
