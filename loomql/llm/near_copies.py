@@ -38,7 +38,7 @@ MISSED, APART = 0.011, math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 #: Shingles whose bits are counted at a time; pairs of one node that go to a task together.
 BLOCK, SHARE = 1 << 14, 64
 #: The most nodes of a variant that are joined with each other; of a larger one, those compared in the first round after the central one, and the growth from round to round.
-BUCKET, SAMPLE, GROWTH = 32, 64, 64
+BUCKET, SAMPLE, GROWTH = 32, 16, 64
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -178,7 +178,9 @@ def crowd_roots(members: DataFrame, nodes: DataFrame, texts: DataFrame, shape: S
         largest = live.agg(F.max("n")).first()[0]
         if largest is None or limit >= GROWTH * largest:  # the round before took all
             return roots
-        some = live.filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit).cast("long")) == 0).select("key", "node", "size", "word", "root")
+        # A node's lot is the same in all variants, so that those it shares with others choose much the same nodes.
+        lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+        some = live.filter(lot * F.col("n") < (limit << 20)).select("key", "node", "size", "word", "root")
         pairs = paired(live.filter("root <> main"), prefixed(some), F.col("root") != F.col("p_root")).distinct()
         limit *= GROWTH
 
